@@ -24,11 +24,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def r5(c: Column | str) -> Column:
-    return F.round(c, 5) + F.lit(0.0)
+    """Five places; a nudge keeps exact halves from falling either way by the order of a sum."""
+    value = F.col(c) if isinstance(c, str) else c
+    return F.round(value + F.lit(1e-9), 5) + F.lit(0.0)
 
 
 def r5_sql(expression: str) -> str:
-    return f"(round({expression}, 5) + 0.0::DOUBLE)"
+    return f"(round(({expression}) + 1e-9::DOUBLE, 5) + 0.0::DOUBLE)"
 
 
 def hash_sql(seed: str, *columns: str) -> str:

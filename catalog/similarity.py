@@ -160,6 +160,9 @@ def similar_image_recent(spark, folder):
     )
 
 
+CLOSE = 0.4  # the given vectors are spread wider than titles are; a threshold of 0.9 finds none
+
+
 def unit_list(vec: str) -> str:
     return f"list_transform({vec}, lambda e: e / sqrt(list_dot_product({vec}, {vec})))"
 
@@ -200,7 +203,7 @@ def similar_multimodal(spark, folder):
     placed as (select *, row_number() over (partition by row_id order by s desc, c_row) as rank
       from scored)
     select row_id, spu_sn, rank, neighbour, {r5_sql('s')} as score
-    from placed where rank <= 12 and s > 0.9""",
+    from placed where rank <= 12 and s > {CLOSE}""",
 )
 def similar_cosine_threshold(spark, folder):
     found = S.nearest(
@@ -209,7 +212,7 @@ def similar_cosine_threshold(spark, folder):
         row_id="row_id",
         vec="text_vec",
         k=13,
-        min_score=0.9,
+        min_score=CLOSE,
     )
     return found.select(
         F.col("q_row").alias("row_id"),

@@ -26,6 +26,7 @@ from kindred.operators.scoring import class_scores
 from kindred.plans import jobs
 from kindred.session import scratch_path
 from kindred.sources import tables as W
+from kindred.sources.images import RGB_MEAN, RGB_STD
 
 STAMP = "2024-01-10"
 WHOLE = "embedding::DOUBLE[]"
@@ -116,14 +117,15 @@ def decoded(spark, folder):
 @query(
     "pixel_normalize",
     f"""with {ITEM_VECTORS}, p as (select row_id, list_transform({WHOLE},
-      lambda e, i: (floor((e + 1.0) * 127.5) / 255.0::DOUBLE - [0.485, 0.456, 0.406]::DOUBLE[][
-        (i - 1) % 3 + 1]) / [0.229, 0.224, 0.225]::DOUBLE[][(i - 1) % 3 + 1]) as vec
+      lambda e, i: (floor((e + 1.0) * 127.5) / 255.0::DOUBLE
+        - list_extract(cast([0.485, 0.456, 0.406] as DOUBLE[]), (i - 1) % 3 + 1))
+        / list_extract(cast([0.229, 0.224, 0.225] as DOUBLE[]), (i - 1) % 3 + 1)) as vec
       from item_vectors) """
     + unnested_sql("p", "row_id", "vec"),
 )
 def pixel_normalize(spark, folder):
     bytes_ = F.transform(V.as_double(F.col("embedding")), lambda e: F.floor((e + 1.0) * 127.5))
-    normal = V.pixel_normalize(bytes_, (0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
+    normal = V.pixel_normalize(bytes_, RGB_MEAN, RGB_STD)
     return unnested(item_vectors(spark, folder), ["row_id"], normal)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.hashing import hash_int, hash_unit
 from kindred.operators.ranking import BUCKET_ROWS, blocked_index, shuffled_index
+from kindred.session import materialize
 
 NEGATIVE_DRAWS = 3
 
@@ -146,7 +147,10 @@ def mine_pairs(
         hash_unit(seed + ":order", F.col(row_id)).alias("_unit"),
         F.explode(memberships).alias("_m"),
     ).select("cand_id", "title", "_unit", "_m.*")
-    index = blocked_index(members, ["kind", "grp"], "block", "_unit", "cand_id", bucket_rows)
+    index = materialize(
+        blocked_index(members, ["kind", "grp"], "block", "_unit", "cand_id", bucket_rows).drop("_unit"),
+        "pair-index",
+    )
 
     # The row's own place in the group it draws from.
     own = index.withColumnRenamed("cand_id", "id").join(
@@ -159,7 +163,7 @@ def mine_pairs(
     is_negative = F.col("kind").startswith("other")
     positions = F.array(
         *[
-            F.pmod(hash_int(f"{seed}:draw{n}", F.col("id")), F.col("allowed"))
+            F.pmod(hash_int(f"{seed}:draw{n}", F.col("id")), F.greatest("allowed", F.lit(1)))
             for n in range(NEGATIVE_DRAWS)
         ]
     )

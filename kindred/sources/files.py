@@ -58,4 +58,5 @@ def read_vector_files(
 def write_vector_files(df: DataFrame, item: str, vec: str, path: str) -> None:
     """The layout :func:`read_vector_files` reads: a folder per item, one number per line."""
     numbers = F.array_join(F.transform(vec, lambda x: x.cast("string")), "\n")
-    df.select(F.col(item).alias("item"), numbers.alias("value")).write.partitionBy("item").text(path)
+    files = df.select(F.col(item).alias("item"), numbers.alias("value")).repartition("item")
+    files.write.partitionBy("item").text(path)
