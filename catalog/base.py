@@ -1,10 +1,13 @@
 """Registry, table access and the stand-ins for the product tables, in Spark and in SQL."""
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.functions.hashing import HEX_DIGITS, hash_int
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -156,25 +159,37 @@ def pair_items(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- vectors from text -------------------------------------------------------------------------
 
-HASH_DIMS = 16  # one dimension per byte of an md5
+HASH_DIMS = 8  # six bits of a hash each
 
 
 def hash_vector(text: Column) -> Column:
     """A deterministic vector for a word or a text; stands in for a trained model."""
-    digest = F.md5(text)
+    code = hash_int("vector", text)
     return F.array(
         *[
-            F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("double") / 127.5 - 1.0
+            F.shiftright(code, 6 * i).bitwiseAND(F.lit(63)).cast("double") / 31.5 - 1.0
             for i in range(HASH_DIMS)
         ]
     )
 
 
 def hash_vector_sql(text: str) -> str:
-    return (
-        f"list_transform(range(0, {HASH_DIMS}), lambda i: "
-        f"('0x' || substr(md5({text}), (2 * i + 1)::INTEGER, 2))::INTEGER / 127.5::DOUBLE - 1.0::DOUBLE)"
-    )
+    parts = [
+        f"(({hash_sql('vector', text)} >> {6 * i}) & 63) / 31.5::DOUBLE - 1.0::DOUBLE"
+        for i in range(HASH_DIMS)
+    ]
+    return f"[{', '.join(parts)}]"
+
+
+def load_hash_model():
+    """The same vectors from a Python function, in place of a model."""
+
+    def vector(text: str) -> list[float]:
+        digest = hashlib.md5(f"vector|{text}".encode()).hexdigest()
+        code = int(digest[:HEX_DIGITS], 16)
+        return [((code >> (6 * i)) & 63) / 31.5 - 1.0 for i in range(HASH_DIMS)]
+
+    return lambda batch: [vector(t) for t in batch[batch.columns[0]]]
 
 
 def unnested(df: DataFrame, keys: list[str], vec: Column | str) -> DataFrame:

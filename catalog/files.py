@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from catalog.base import ITEM_VECTORS, item_vectors, query, table, unnested, unnested_sql
 from catalog.texts import words_sql
 from kindred.functions.text import words
+from kindred.operators.merge import one_row_per_key
 from kindred.session import scratch_path
 from kindred.sources import files as R
 from kindred.sources import images as I
@@ -39,13 +40,15 @@ def scan_wordlist(spark, folder):
 
 @query(
     "scan_vector_files",
-    f"with {ITEM_VECTORS}, t as (select cast(row_id as varchar) as item, embedding::DOUBLE[] as vec "
-    "from item_vectors) " + unnested_sql("t", "item", "vec"),
+    f"with {ITEM_VECTORS}, t as (select spu_sn as item, embedding::DOUBLE[] as vec from ("
+    "select *, row_number() over (partition by spu_sn order by dt desc, row_id desc) as n "
+    "from item_vectors) where n = 1) " + unnested_sql("t", "item", "vec"),
 )
 def scan_vector_files(spark, folder):
     path = scratch_path(spark, "vectors")
-    rows = item_vectors(spark, folder).withColumn("item", F.col("row_id").cast("string"))
-    R.write_vector_files(rows, "item", "embedding", path)
+    rows = item_vectors(spark, folder).select("spu_sn", "dt", "row_id", "embedding")
+    latest = one_row_per_key(rows, "spu_sn", ["dt", "row_id"])
+    R.write_vector_files(latest, "spu_sn", "embedding", path)
     read = R.read_vector_files(spark, path, r"item=([^/]+)/")
     return unnested(read, ["item"], F.col("vec").cast("array<double>"))
 
@@ -102,7 +105,7 @@ def image_root(spark) -> str:
 def scan_images(spark, folder):
     root = image_root(spark)
     write_images(spark, folder, root)
-    total = F.aggregate(I.pixel_values("data"), F.lit(0.0), lambda acc, x: acc + x)
+    total = F.aggregate(I.pixel_values("data").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x)
     return I.read_images(spark, root).select(
         F.regexp_extract("origin", r"/(\d+)\.png$", 1).cast("bigint").alias("row_id"),
         "height",

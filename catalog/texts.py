@@ -2,9 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import HASH_DIMS, hash_vector, hash_vector_sql, query, r5, r5_sql, table, unnested
-from catalog.base import unnested_sql
-from catalog.vectors import load_hash_model
+from catalog.base import (
+    HASH_DIMS,
+    hash_vector,
+    hash_vector_sql,
+    load_hash_model,
+    query,
+    r5,
+    r5_sql,
+    table,
+    unnested,
+    unnested_sql,
+)
 from kindred.functions.text import WHITESPACE, clean_title, collapse_whitespace, words
 from kindred.operators import embed as M
 from kindred.operators.tokens import build_vocabulary, tokenize_pad

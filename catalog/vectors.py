@@ -1,15 +1,14 @@
 """Vector functions, class scores and embedding tables."""
 
-import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    HASH_DIMS,
     ITEM_VECTORS,
     hash_vector_sql,
     item_vectors,
+    load_hash_model,
     query,
     r5,
     r5_sql,
@@ -330,16 +329,6 @@ def precision_recall_at_1(spark, folder):
 # --- embedding tables --------------------------------------------------------------------------
 
 
-def load_hash_model():
-    """A stand-in for a trained model: the bytes of an md5."""
-
-    def model(batch):
-        texts = batch[batch.columns[0]]
-        return [[b / 127.5 - 1.0 for b in hashlib.md5(t.encode()).digest()] for t in texts]
-
-    return model
-
-
 def one_per_item(rows, vec, name):
     """Encoded vectors, one row per item: the latest."""
     latest = M.one_row_per_key(rows.select("spu_sn", "dt", "row_id", vec), "spu_sn", ["dt", "row_id"])

@@ -74,4 +74,4 @@ def clean_title(
 
 def words(c: Column) -> Column:
     """White-space separated words of a text, without empty ones."""
-    return F.filter(F.split(collapse_whitespace(c), " ", -1), lambda w: w != "")
+    return F.array_remove(F.split(c, WHITESPACE, -1), "")

@@ -53,9 +53,19 @@ def mean_pool_images(df: DataFrame, item: str, number: str, row_id: str, vec: st
 def masked_mean_pool(
     tokens: DataFrame, row_id: str, vec: str, mask: str
 ) -> DataFrame:
-    """Mean of a row's token vectors where the mask is 1; NULL when no token is."""
-    pooled = mean_vector(tokens, [row_id], F.col(vec), F.col(mask))
-    return tokens.select(row_id).distinct().join(pooled, row_id, "left")
+    """Mean of a row's token vectors where the mask is 1; NULL when no token is.
+
+    Masked tokens enter the sum as zeros, so one aggregation serves both kinds of rows.
+    """
+    kept = F.col(mask) == 1
+    zeros = F.transform(vec, lambda x: F.lit(0.0))
+    shown = F.when(kept, F.col(vec).cast("array<double>")).otherwise(zeros)
+    rows = tokens.select(row_id, array_to_vector(shown).alias("_v"), kept.cast("int").alias("_k"))
+    summed = rows.groupBy(row_id).agg(
+        Summarizer.sum(F.col("_v")).alias("_sum"), F.sum("_k").alias("_n")
+    )
+    mean = F.transform(vector_to_array("_sum"), lambda x: x / F.col("_n"))
+    return summed.select(row_id, F.when(F.col("_n") > 0, mean).alias("vec"))
 
 
 def sentence_vectors(

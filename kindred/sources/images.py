@@ -1,7 +1,10 @@
 """Image readers."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Channel means and deviations of the usual pretrained image models, as R, G, B.
 RGB_MEAN = (0.485, 0.456, 0.406)
@@ -38,10 +41,7 @@ def read_class_folders(spark: SparkSession, path: str, glob: str = "*") -> DataF
     )
 
 
-def pixel_values(data: str):
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def pixel_values(data: pd.Series) -> pd.Series:
     """Bytes of a decoded image as numbers 0..255, in stored (B, G, R) order."""
-    digits = F.hex(data)
-    return F.transform(
-        F.sequence(F.lit(0), F.length(data) - 1),
-        lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double"),
-    )
+    return data.map(lambda b: np.frombuffer(b, dtype=np.uint8).astype(np.float32))
