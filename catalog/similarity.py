@@ -285,7 +285,7 @@ def similar_items_recent(spark, folder):
 @query(
     "kv_publish",
     f"""with {ITEM_VECTORS}, {IMAGE_RANKED}, {lists_sql('image_lists', 'image_ranked')},
-    numbered as (select concat('dj_similar:', spu_sn) as key, area_id,
+    numbered as (select concat('similar:', spu_sn) as key, area_id,
         array_to_string(neighbours, ',') as value,
         row_number() over (partition by spu_sn order by area_id desc) as n from image_lists)
     select key, area_id, value, '{IN_A_WEEK}' as expire_at from numbered where n = 1""",
@@ -293,7 +293,7 @@ def similar_items_recent(spark, folder):
 def kv_publish(spark, folder):
     found = S.similar_before_rules(item_vectors(spark, folder), **IMAGE_ARGS)
     lists = S.neighbour_lists(found, jobs.KEYS, "c_spu_sn")
-    key = prefixed_key("dj_similar:", F.col("spu_sn"))
+    key = prefixed_key("similar:", F.col("spu_sn"))
     now = F.lit(NOW).cast("timestamp")
     rows = kv.kv_rows(lists, key, now, kv.WEEK_SECONDS, keep=["area_id"])
     winners = kv.one_value_per_key(rows, "area_id")
@@ -302,12 +302,12 @@ def kv_publish(spark, folder):
 
 @query(
     "kv_copy",
-    f"""with {ITEM_VECTORS} select concat('dj_similar:', cast(row_id as varchar)) as key,
+    f"""with {ITEM_VECTORS} select concat('similar:', cast(row_id as varchar)) as key,
       case when lv2 = 0 then null else spu_sn end as value, '{IN_A_WEEK}' as expire_at
     from item_vectors where lv2 <> 0""",
 )
 def kv_copy(spark, folder):
-    key = F.concat(F.lit("dj_similar:"), F.col("row_id"))
+    key = F.concat(F.lit("similar:"), F.col("row_id"))
     source = item_vectors(spark, folder).select(
         key.alias("key"), F.when(F.col("lv2") != 0, F.col("spu_sn")).alias("value")
     )

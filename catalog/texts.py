@@ -14,7 +14,7 @@ from catalog.base import (
     unnested,
     unnested_sql,
 )
-from kindred.functions.text import WHITESPACE, clean_title, collapse_whitespace, words
+from kindred.functions.text import clean_title, collapse_whitespace, words
 from kindred.operators import embed as M
 from kindred.operators.tokens import build_vocabulary, tokenize_pad
 from kindred.session import scratch_path
@@ -23,8 +23,11 @@ from kindred.sources.files import read_labelled_lines, write_labelled_lines
 PHRASES = ("ation", "the", "er", "at", "[")
 
 
+SPACES = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 def collapse_sql(c: str) -> str:
-    return f"trim(regexp_replace({c}, '{WHITESPACE}', ' ', 'g'))"
+    return f"trim(regexp_replace({c}, '{SPACES}', ' ', 'g'))"
 
 
 def words_sql(c: str) -> str:
@@ -100,7 +103,7 @@ def sentence_vectors(spark, folder):
     documents = table(spark, folder, "documents")
     vocabulary = documents.select(F.explode(words(F.col("text"))).alias("word")).distinct()
     vectors = vocabulary.select("word", hash_vector(F.col("word")).alias("vec"))
-    found = M.sentence_vectors(documents, "doc_id", F.col("text"), vectors)
+    found = M.sentence_vectors(documents, "doc_id", F.col("text"), vectors, HASH_DIMS)
     return as_columns(found, "doc_id", F.col("vec"))
 
 

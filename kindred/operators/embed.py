@@ -18,17 +18,31 @@ from kindred.functions.vectors import mean_of
 MAX_IMAGES = 8
 
 
+MAX_COLUMNS = 128
+
+
 def mean_vector(
-    df: DataFrame, keys: Sequence[str], vec: Column, weight: Column | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    vec: Column,
+    weight: Column | None = None,
+    dims: int | None = None,
 ) -> DataFrame:
     """Element-wise mean per key as ``vec``, partly summed before the shuffle.
 
-    Rows of weight 0 do not count; a key with no weight at all has no row.
+    Rows of weight 0 do not count; a key with no weight at all has no row. With known ``dims`` (at
+    most 128) the sums are plain columns of a hash aggregate; otherwise a vector summarizer adds
+    them up.
     """
     used = F.lit(1.0) if weight is None else weight.cast("double")
-    rows = df.select(*keys, array_to_vector(vec).alias("_v"), used.alias("_w")).where("_w > 0")
-    mean = Summarizer.mean(F.col("_v"), F.col("_w")).alias("_mean")
-    return rows.groupBy(*keys).agg(mean).select(*keys, vector_to_array("_mean").alias("vec"))
+    rows = df.select(*keys, vec.alias("_v"), used.alias("_w")).where("_w > 0")
+    if dims is None or dims > MAX_COLUMNS:
+        mean = Summarizer.mean(array_to_vector("_v"), F.col("_w")).alias("_mean")
+        return rows.groupBy(*keys).agg(mean).select(*keys, vector_to_array("_mean").alias("vec"))
+    sums = [F.sum(F.col("_v")[i].cast("double") * F.col("_w")).alias(f"_s{i}") for i in range(dims)]
+    summed = rows.groupBy(*keys).agg(F.sum("_w").alias("_n"), *sums)
+    means = [F.col(f"_s{i}") / F.col("_n") for i in range(dims)]
+    return summed.select(*keys, F.array(*means).alias("vec"))
 
 
 def mean_pool_images(df: DataFrame, item: str, number: str, row_id: str, vec: str) -> DataFrame:
@@ -69,7 +83,7 @@ def masked_mean_pool(
 
 
 def sentence_vectors(
-    df: DataFrame, row_id: str, text: Column, word_vectors: DataFrame
+    df: DataFrame, row_id: str, text: Column, word_vectors: DataFrame, dims: int | None = None
 ) -> DataFrame:
     """Mean of the vectors of a text's known words; ``word_vectors`` holds ``word, vec``.
 
@@ -81,7 +95,7 @@ def sentence_vectors(
         .agg(F.count(F.lit(1)).alias("uses"))
     )
     joined = counts.join(word_vectors, "word")
-    return mean_vector(joined, [row_id], F.col("vec"), F.col("uses"))
+    return mean_vector(joined, [row_id], F.col("vec"), F.col("uses"), dims)
 
 
 ModelFactory = Callable[[], Callable[[pd.DataFrame], Sequence]]

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.session import broadcast_if_small
+
 BUCKET_ROWS = 500_000
 
 
@@ -22,7 +24,7 @@ def _exclusive(total: Column, window) -> Column:
 def _with_size(df: DataFrame, groups: Sequence[str], name: str) -> DataFrame:
     size = F.count(F.lit(1)).alias(name)
     if groups:
-        return df.join(df.groupBy(*groups).agg(size), list(groups))
+        return df.join(broadcast_if_small(df.groupBy(*groups).agg(size)), list(groups))
     return df.withColumn(name, df.agg(size).scalar())
 
 
@@ -113,7 +115,7 @@ def running_sums(
     )
     share = (place - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
     bucket = F.coalesce(F.floor(share * F.col("_ranges")), F.lit(0))
-    cut = df.join(large, list(groups), "left").withColumn("_bucket", bucket)
+    cut = df.join(broadcast_if_small(large), list(groups), "left").withColumn("_bucket", bucket)
     cut = cut.drop("_rows", "_lo", "_hi", "_ranges")
     totals = cut.groupBy(*groups, "_bucket").agg(
         *[F.sum(v).alias("_total_" + n) for n, v in values.items()]

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from kindred.functions.hashing import hash_int, hash_unit
 from kindred.operators.ranking import BUCKET_ROWS, blocked_index, shuffled_index
-from kindred.session import materialize
+from kindred.session import broadcast_if_small, materialize
 
 NEGATIVE_DRAWS = 3
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Each row with its class frequency and the inverse of it as sample weight."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("class_count"))
+    counts = broadcast_if_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("class_count")))
     return df.join(counts, df[label].eqNullSafe(counts[label])).drop(counts[label]).withColumn(
         "weight", F.lit(1.0) / F.col("class_count")
     )
@@ -182,7 +182,8 @@ def mine_pairs(
         .agg(F.min_by(F.struct("cand_id", "cand_title"), "attempt").alias("_c"))
         .select("id", "_c.*")
     )
-    unlucky = own.where(is_negative).join(picked, "id", "left_anti")
+    picked = materialize(picked, "drawn-pairs")
+    unlucky = own.where(is_negative).join(picked.select("id"), "id", "left_anti")
     negatives = index.where(is_negative)
     picked = picked.unionByName(_any_other_title(negatives, unlucky))
 
