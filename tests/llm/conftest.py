@@ -19,7 +19,7 @@ def make_docs(spark):
     """A documents table of (id, text) pairs with extra columns of clashing names."""
 
     def make(pairs):
-        rows = [(i, t, None, "s", t and len(t), "x", 7) for i, t in pairs]
+        rows = [(i, t, None, "s", len(t or ""), "x", 7) for i, t in pairs]
         return spark.createDataFrame(rows, DOCS)
 
     return make
