@@ -1,9 +1,10 @@
 """One registered query for each operator, over the whole of its table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from kindred.llm import quality_rules
+from kindred.llm import bpe, packing, quality_rules
 from kindred.llm.registry import query, table
 
 
@@ -20,3 +21,20 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         "kept",
         "posterior",
     )
+
+
+@query("op8_bpe")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode_decode(table(spark, folder, "documents"), path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, folder, "documents"), path)
