@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, packing, quality_rules
+from kindred.llm import bpe, packing, pii, quality_rules
 from kindred.llm.registry import query, table
 
 
@@ -23,6 +23,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_pii")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 @query("op8_bpe")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
