@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, packing, pii, quality_rules
+from kindred.llm import bpe, line_crf, packing, pii, quality_rules
 from kindred.llm.registry import query, table
 
 
@@ -47,6 +47,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = line_crf.train(docs, table(spark, folder, "labels"))
+    return line_crf.score(docs, model).select(
+        "doc_id",
+        line_crf.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
