@@ -4,10 +4,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, line_crf, packing, pii, quality_rules
+from kindred.llm import bpe, line_crf, packing, permutation_index, pii, quality_rules
 from kindred.llm.registry import query, table
 
 
+@query("op3_permutation_index")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return permutation_index.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 @query("op4_quality_rules")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).select(
