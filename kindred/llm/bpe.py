@@ -8,24 +8,36 @@ cache, and their ids joined.
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
-import numpy as np
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from kindred.llm.columns import per_text
 
-CACHE_ENTRIES = 300_000
-CACHED_LENGTH = 64  # characters; longer words and fragments are encoded each time
-ASCII_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
+CACHE_ENTRIES = 400_000
+CACHED_LENGTH = 64  # bytes; longer words and fragments are encoded each time
+# letters of ASCII and Latin-1, and one mark after them that always is a word by itself
+LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+PLAIN = re.compile(rb"(" + LETTER + rb"+)([.,;:!?|]?)")
 
 
 class Cache(dict):
-    """A dictionary that starts anew when it is full; long keys don't stay."""
+    """A dictionary of bounded size: when it is full, its entries become the ``old`` ones."""
+
+    def __init__(self, entries: int = CACHE_ENTRIES):
+        super().__init__()
+        self.entries, self.old = entries, {}
+
+    def again(self, key):
+        """What the old entries have for a key that isn't here; it stays from now on."""
+        value = self.old.get(key)
+        return None if value is None else self.keep(key, value)
 
     def keep(self, key, value):
         if len(key) <= CACHED_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -53,8 +65,14 @@ class ForcedBoundaryBpe:
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.inside = {p for token in self.vocab for p in self._neighbours(self._symbols(token))}
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
+        self.fragments, self.words = Cache(CACHE_ENTRIES // 4), Cache(CACHE_ENTRIES // 2)
         self.chunks = Cache()
+        marks = (self.splitter.pre_tokenize_str(chr(c))[0][0] for c in range(33, 127))
+        self.byte_names = {c: name for c, name in zip(range(33, 127), marks, strict=True)}
+        for c in range(0xC0, 0x100):  # the two bytes of letters of Latin-1
+            if c not in (0xD7, 0xF7):
+                name = self.splitter.pre_tokenize_str(chr(c))[0][0]
+                self.byte_names |= dict(zip(chr(c).encode(), name, strict=True))
 
     def _symbols(self, token: str) -> list[str]:
         if len(token) > len(self.suffix) and token.endswith(self.suffix):
@@ -69,14 +87,18 @@ class ForcedBoundaryBpe:
 
     def fragments_of(self, symbols: list[str]) -> list[tuple[str, ...]]:
         """The symbols of a word, cut wherever no token can reach across."""
-        cuts = [i + 1 for i, p in enumerate(self._neighbours(symbols)) if p not in self.inside]
+        cuts = [
+            i for i, p in enumerate(self._neighbours(symbols), 1) if p not in self.inside
+        ]
+        if not cuts:
+            return [tuple(symbols)]
         return [
             tuple(symbols[a:b]) for a, b in zip([0, *cuts], [*cuts, len(symbols)], strict=True)
         ]
 
     def merged(self, fragment: tuple[str, ...]) -> list[int]:
         """Ids of one fragment: the earliest learned merge first, leftmost among equals."""
-        known = self.fragments.get(fragment)
+        known = self.fragments.get(fragment) or self.fragments.again(fragment)
         if known is not None:
             return known
         parts = list(fragment)
@@ -89,11 +111,15 @@ class ForcedBoundaryBpe:
             for j in (i - 1, i):
                 if 0 <= j < len(ranks):
                     ranks[j] = self.ranks.get((parts[j], parts[j + 1]), never)
-        ids = [self.vocab[p] for p in parts if p in self.vocab]
-        if len(fragment) <= CACHED_LENGTH:
-            if len(self.fragments) >= CACHE_ENTRIES:
-                self.fragments.clear()
-            self.fragments[fragment] = ids
+        return self.fragments.keep(fragment, [self.vocab[p] for p in parts if p in self.vocab])
+
+    def word_ids(self, word: str) -> list[int]:
+        """Ids of one word, given as the names of its bytes."""
+        symbols = list(word)
+        symbols[-1] += self.suffix
+        ids: list[int] = []
+        for fragment in self.fragments_of(symbols):
+            ids += self.merged(fragment)
         return ids
 
     def chunk_ids(self, chunk: str) -> list[int]:
@@ -103,27 +129,44 @@ class ForcedBoundaryBpe:
                 ids.append(self.special[piece])
             elif piece:
                 for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece)):
-                    symbols = list(word)
-                    symbols[-1] += self.suffix
-                    for fragment in self.fragments_of(symbols):
-                        ids += self.merged(fragment)
+                    ids += self.word_ids(word)
         return ids
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = self.chunk_ids(chunk)
-        names = " ".join(self.names[i] for i in ids)
-        return np.array(ids, "<u4").tobytes(), names.encode()
-
-    def encode_decode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the ids decoded, in UTF-8.
+    def _coded(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids]).encode()
+
+    def _plain(self, word: bytes) -> tuple[bytes, bytes]:
+        """Of Latin letters or one mark, which the normalizer only puts in lower case."""
+        word = word.decode().lower().encode()
+        got = self.words.get(word) or self.words.again(word)
+        if got is None:
+            named = "".join([self.byte_names[b] for b in word])
+            got = self.words.keep(word, self._coded(self.word_ids(named)))
+        return got
+
+    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
+        if plain := PLAIN.fullmatch(chunk):
+            word, mark = plain.groups()
+            ids, names = self._plain(word)
+            if mark:
+                more, name = self._plain(mark)
+                return ids + more, names + b" " + name
+            return ids, names
+        return self._coded(self.chunk_ids(chunk.decode("utf-8", "replace")))
+
+    def encode_decode(self, text: bytes) -> tuple[bytes, bytes]:
+        """Ids as little-endian unsigned 32-bit integers, and the ids decoded; texts in UTF-8.
 
         Words never reach across white space, so what lies between spaces is encoded once.
         """
-        known, found = self.chunks, []
-        for chunk in text.translate(ASCII_SPACES).split(" ") if text else ():
-            if chunk:
-                got = known.get(chunk)
-                found.append(known.keep(chunk, self._chunk(chunk)) if got is None else got)
+        chunks = text.split()
+        found = list(map(self.chunks.get, chunks))
+        if None in found:
+            again, keep = self.chunks.again, self.chunks.keep
+            found = [
+                again(c) or keep(c, self._chunk(c)) if f is None else f
+                for c, f in zip(chunks, found, strict=True)
+            ]
         return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
 
 
@@ -143,7 +186,7 @@ def encode_decode(
     kind = docs.select(f"`{key}`").schema[0].dataType.simpleString()
 
     def both(data: bytes) -> tuple[bytes, str]:
-        ids, decoded = load(path).encode_decode(data.decode("utf-8", "replace"))
+        ids, decoded = load(path).encode_decode(data)
         return ids, decoded.decode()
 
     return per_text(docs, text, [key], f"`{key}` {kind}, ids binary, decoded string", both)

@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as packed
 
 import numpy as np
 import pyarrow as pa
@@ -19,45 +20,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kindred.llm.bpe import CACHE_ENTRIES, CACHED_LENGTH
+from kindred.llm.bpe import LETTER, Cache
 from kindred.llm.columns import arrow_schema, slices
 from kindred.session import broadcast_if_small, materialize
 
-TWO_SPACES = re.compile(r"\s\s")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+# white space beside white space, at an end, or outside ASCII; or the mark used for cutting
+CAREFUL = re.compile(
+    rb"[\x09-\x0d\x1c-\x20]{2}|\A[ \n]|[ \n]\Z|\0|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80"
+)
+PLAIN = re.compile(rb"( ?" + LETTER + rb"+)([.,;:!?|])")
 
 
 class SpacedTokenizer:
     """Ids by the tokenizers library, each word with the space before it encoded once.
 
-    For byte-level files: a space between two other characters always begins a new word.
+    For byte-level files: a space or line end between two other characters is a word's border.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of the chunks that aren't known; the short ones are remembered."""
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        found = self.library.encode_batch(chunks, add_special_tokens=False)
-        new = {
-            c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, found, strict=True)
+        self.known = Cache()
+
+    def _library(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        found = self.library.encode_batch(texts, add_special_tokens=False)
+        return {
+            c: packed(f"<{len(e)}I", *e.ids) for c, e in zip(chunks, found, strict=True)
         }
-        self.known.update((c, ids) for c, ids in new.items() if len(c) <= CACHED_LENGTH)
-        return new
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        parts = LONE_SPACE.split(text) if TWO_SPACES.search(text) else text.split(" ")
-        chunks = [parts[0], *[" " + p for p in parts[1:]]]
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of the chunks; those of letters and one mark are put together from both."""
+        kept = {c: ids for c in chunks if (ids := self.known.again(c)) is not None}
+        chunks = chunks - kept.keys()
+        halves = {c: m.groups() for c in chunks if (m := PLAIN.fullmatch(c))}
+        parts = {p for pair in halves.values() for p in pair} | (chunks - halves.keys())
+        known = self.known
+        got = {p: v for p in parts if (v := known.get(p) or known.again(p)) is not None}
+        got |= self._library(list(parts - got.keys()))
+        got |= {c: got[word] + got[mark] for c, (word, mark) in halves.items()}
+        for c, ids in got.items():
+            self.known.keep(c, ids)
+        return got | kept
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text in UTF-8, as little-endian unsigned 32-bit integers."""
+        if CAREFUL.search(text):
+            first, *more = LONE_SPACE.split(text.decode("utf-8", "replace"))
+            chunks = [first.encode(), *[f" {m}".encode() for m in more]]
+        else:
+            chunks = text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0")
         found = list(map(self.known.get, chunks))
         if None in found:
-            missing = list({c for c, ids in zip(chunks, found, strict=True) if ids is None})
-            new = self._learn(missing)
+            new = self._learn({c for c, ids in zip(chunks, found, strict=True) if ids is None})
             found = [new[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
         return b"".join(found)
 
@@ -104,7 +121,7 @@ def pieces(
             for piece in slices(batch, 1):
                 rows, of = [], []
                 for n, data in enumerate(piece.column(1).cast(pa.binary()).to_pylist()):
-                    ids = load(path).encode((data or b"").decode("utf-8", "replace")) + last
+                    ids = load(path).encode(data or b"") + last
                     total, start = len(ids) // 4, 0
                     for size in cut(total, capacity, lengths):
                         crc = zlib.crc32(ids[4 * start : 4 * (start + size)])

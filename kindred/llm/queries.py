@@ -4,10 +4,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, line_crf, packing, permutation_index, pii, quality_rules
+from kindred.llm import bpe, chat, line_crf, packing, permutation_index, pii, quality_rules, secrets
 from kindred.llm.registry import query, table
 
 
+@query("op2_secrets")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 @query("op3_permutation_index")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
@@ -29,6 +41,50 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+OWN = """{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"},
+ {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}"""
+ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2', 'g')"
+CHAT_SQL = f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text))
+    as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text)
+    filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum({len(chat.OPEN + chat.SAYS + chat.CLOSE)} + length({ESCAPED.format('role')})
+    + length({ESCAPED.format('text')})) as bigint) as formatted_chars
+from said group by conv_id"""
+
+
+@query("op5_chat", CHAT_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    records = rows.select(
+        F.col("conv_id").cast("long"), F.to_variant_object(F.struct("turn", "role", "text")).alias("record")
+    )
+    own = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.parse_json(F.lit(OWN)).alias("record"))
+    laid = chat.formatted(chat.canonical_turns(records.unionByName(own), "conv_id"))
+    read = laid.select(
+        "conv_id",
+        chat.whole_text(F.col("segments")).alias("formatted"),
+        chat.loss_text(F.col("segments")).alias("loss"),
+    ).withColumn("turns", chat.read_back(F.col("formatted")))
+    line = F.lit("\n")
+    said = F.transform("turns", lambda t: F.concat(t["role"], line, t["text"], line))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op7_pii")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents")).select(
