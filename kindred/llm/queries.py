@@ -4,10 +4,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, line_crf, packing, permutation_index, pii, quality_rules, secrets
+from kindred.llm import bpe, chat, fixity, line_crf, near_dup, packing, permutation_index, pii, quality_rules, secrets
 from kindred.llm.registry import query, table
 
 
+@query("op1_minhash")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op2_secrets")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents")).select(
@@ -85,6 +90,49 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+FIXITY_SQL = """
+with primary_pages as (select page_id, url, html from pages),
+replica_pages as (
+  select page_id, url, case when page_id % 97 = 5 then replace(html, 'e', '3') else html end as html
+  from pages where page_id % 193 <> 7
+  union all select page_id, url || '#again', html from pages where page_id % 211 = 9),
+both_sides as (
+  select 'a' as side, * from primary_pages union all select 'b' as side, * from replica_pages),
+texts as (
+  select side, page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10),
+    'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13),
+    chr(10), 'Content-Length: ', strlen(html), chr(13), chr(10), chr(13), chr(10), html, chr(13),
+    chr(10), chr(13), chr(10)) as record from both_sides),
+records as (
+  select side, page_id, sha256(record) as sha256, cast(strlen(record) as bigint) as length,
+    count(*) as copies from texts group by 1, 2, 3, 4),
+placed as (
+  select *, cast(floor(page_id / 1024) as bigint) as archive,
+    cast(coalesce(sum(length * copies) over (partition by side, floor(page_id / 1024)
+      order by page_id, sha256 rows between unbounded preceding and 1 preceding), 0) as bigint)
+      as "offset" from records),
+alone as (
+  select *, count(*) over (partition by page_id, sha256, length, copies) as sides from placed)
+select archive, page_id, side,
+  case when min(side) over (partition by page_id) <> max(side) over (partition by page_id) then 'corrupt'
+    when side = 'a' then 'missing' else 'extra' end as status,
+  "offset", length, sha256, copies
+from alone where sides = 1"""
+
+
+@query("op6_fixity", FIXITY_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive against a replica with changed, lost and added records."""
+    pages = table(spark, folder, "pages")
+    number = F.col("page_id")
+    kept = pages.filter(number % 193 != 7).withColumn(
+        "html", F.when(number % 97 == 5, F.replace("html", F.lit("e"), F.lit("3"))).otherwise(F.col("html"))
+    )
+    added = pages.filter(number % 211 == 9).withColumn("url", F.concat("url", F.lit("#again")))
+    replica = kept.unionByName(added)
+    return fixity.audit(fixity.manifest(pages), fixity.manifest(replica))
+
+
 @query("op7_pii")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents")).select(
