@@ -47,8 +47,8 @@ def filter_valid_sku(spark, folder):
       case when l_returnflag = 'R' then 'nan'::DOUBLE else l_quantity - 10.5 end as sku
       from lineitem)
     select l_orderkey, l_partkey, cast(cast(img_id as bigint) as varchar) as img_id,
-      case when isnan(sku) then '' else cast(cast(trunc(sku) as bigint) as varchar) end as sku
-    from ids where isnan(sku) or sku > 0""",
+      cast(cast(trunc(sku) as bigint) as varchar) as sku
+    from ids where not isnan(sku) and sku > 0""",
 )
 def canonical_id(spark, folder):
     line = table(spark, folder, "lineitem")

@@ -145,12 +145,14 @@ def scan_labelled_lines(spark, folder):
     )
     path = scratch_path(spark, "labelled")
     write_labelled_lines(documents, F.col("quality"), collapse_whitespace(F.col("text")), path)
-    return read_labelled_lines(spark, path)
+    return read_labelled_lines(spark, path).select("label", "text")
 
 
 @query("text_classifier")
 def text_classifier(spark, folder):
     labelled = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
     labelled = labelled.select("doc_id", "text", F.col("quality").cast("double").alias("quality"))
-    model = M.text_classifier(labelled, "text", "quality")
-    return model.transform(labelled).select("doc_id", "quality", "prediction")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    marked = labelled.withColumn("held_out", held_out)
+    model = M.text_classifier(marked.where("not held_out"), "text", "quality")
+    return model.transform(marked).select("doc_id", "held_out", "quality", "prediction")

@@ -21,7 +21,7 @@ from kindred.functions.codec import decode_vector, encode_vector
 from kindred.operators import evaluate as E
 from kindred.operators import merge as M
 from kindred.operators.embed import mean_pool_images, mean_vector
-from kindred.operators.scoring import class_scores
+from kindred.operators.scoring import best_class, class_scores
 from kindred.plans import jobs
 from kindred.session import scratch_path
 from kindred.sources import tables as W
@@ -274,8 +274,19 @@ def multitask_loss(spark, folder):
 
 
 def predictions(spark, folder):
-    scored = cosine_scores(spark, folder, F.col("lv2"))
-    return scored.select("row_id", "area_id", "label", V.argmax(F.col("scores")).alias("top1"))
+    rows = item_vectors(spark, folder).withColumn("label", F.col("lv2").cast("bigint"))
+    centres = mean_vector(rows, ["label"], F.col("embedding"))
+    best = best_class(
+        rows,
+        centres.withColumnsRenamed({"vec": "weights", "label": "class_id"}),
+        row_id="row_id",
+        vec="embedding",
+        class_id="class_id",
+        weights="weights",
+        carry=["area_id", "label"],
+        cosine=True,
+    )
+    return best.select("row_id", "area_id", "label", F.col("class_id").alias("top1"))
 
 
 @query(

@@ -10,9 +10,13 @@ def join_list(c: Column) -> Column:
 
 
 def encode_vector(c: Column, brackets: bool = True) -> Column:
-    """``[a,b,c]`` or ``a,b,c``; numbers print in the shortest form that reads back the same."""
+    """``[a,b,c]`` or ``a,b,c``; numbers print in the shortest form that reads back the same.
+
+    A vector with a NULL element becomes NULL.
+    """
     body = F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return F.concat(F.lit("["), body, F.lit("]")) if brackets else body
+    text = F.concat(F.lit("["), body, F.lit("]")) if brackets else body
+    return F.when(~F.exists(c, lambda x: x.isNull()), text)
 
 
 def decode_vector(c: Column, separator: str = ",") -> Column:

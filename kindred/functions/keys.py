@@ -5,16 +5,20 @@ from pyspark.sql import functions as F
 
 
 def canonical_id(c: Column) -> Column:
-    """A positive number as integer text; anything that is no number becomes ''."""
+    """A number's integer part as text; no number, or one beyond 64 bits, becomes ''.
+
+    Integers are read as such, so that ids above 2^53 keep every digit.
+    """
+    whole = c.cast("string").try_cast("bigint")
     number = c.try_cast("double")
-    usable = number.isNotNull() & ~F.isnan(number)
-    return F.when(usable, number.cast("bigint").cast("string")).otherwise(F.lit(""))
+    cut = F.when(~F.isnan(number), number.try_cast("bigint"))
+    return F.coalesce(F.coalesce(whole, cut).cast("string"), F.lit(""))
 
 
 def is_positive_id(c: Column) -> Column:
-    """True for a positive number and for a missing one; a stored id <= 0 is rejected."""
+    """True for a positive number only; missing ids, NaN and text are not."""
     number = c.try_cast("double")
-    return F.coalesce(F.isnan(number) | (number > 0), F.lit(True))
+    return F.coalesce(~F.isnan(number) & (number > 0), F.lit(False))
 
 
 def has_text(c: Column) -> Column:

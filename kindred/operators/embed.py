@@ -15,9 +15,7 @@ from pyspark.sql import types as T
 from kindred.functions.text import words
 from kindred.functions.vectors import mean_of
 
-MAX_IMAGES = 8
-
-
+MAX_IMAGES = 8  # how many images of an item are pooled unless another number is asked for
 MAX_COLUMNS = 128
 
 
@@ -30,12 +28,16 @@ def mean_vector(
 ) -> DataFrame:
     """Element-wise mean per key as ``vec``, partly summed before the shuffle.
 
-    Rows of weight 0 do not count; a key with no weight at all has no row. With known ``dims`` (at
-    most 128) the sums are plain columns of a hash aggregate; otherwise a vector summarizer adds
-    them up.
+    Rows of weight 0 and NULL vectors do not count; a key with no weight at all has no row. Vectors
+    of another length than ``dims``, or than each other, stop the job. With known ``dims`` (at most
+    128) the sums are plain columns of a hash aggregate; otherwise a vector summarizer adds them up.
     """
     used = F.lit(1.0) if weight is None else weight.cast("double")
-    rows = df.select(*keys, vec.alias("_v"), used.alias("_w")).where("_w > 0")
+    rows = df.select(*keys, vec.alias("_v"), used.alias("_w")).where("_w > 0 and _v is not null")
+    if dims is not None:
+        fits = F.size("_v") == dims
+        wrong = F.raise_error(F.lit(f"a vector has not {dims} elements")).cast(rows.schema["_v"].dataType)
+        rows = rows.withColumn("_v", F.when(fits, F.col("_v")).otherwise(wrong))
     if dims is None or dims > MAX_COLUMNS:
         mean = Summarizer.mean(array_to_vector("_v"), F.col("_w")).alias("_mean")
         return rows.groupBy(*keys).agg(mean).select(*keys, vector_to_array("_mean").alias("vec"))
@@ -45,12 +47,15 @@ def mean_vector(
     return summed.select(*keys, F.array(*means).alias("vec"))
 
 
-def mean_pool_images(df: DataFrame, item: str, number: str, row_id: str, vec: str) -> DataFrame:
-    """Mean vector of an item's images 0, 1, 2, ... up to the first missing number, at most 8.
+def mean_pool_images(
+    df: DataFrame, item: str, number: str, row_id: str, vec: str, most: int = MAX_IMAGES
+) -> DataFrame:
+    """Mean vector of an item's images 0, 1, 2, ... up to the first missing number, at most ``most``.
 
-    Of several rows with one number the least ``row_id`` counts. ``images`` tells how many entered.
+    Of several rows with one number the least ``row_id`` counts. ``images`` tells how many entered;
+    :func:`images_left_out` lists the rows that did not for their number.
     """
-    wanted = df.where(F.col(number).between(0, MAX_IMAGES - 1) & F.col(vec).isNotNull())
+    wanted = df.where(F.col(number).between(0, most - 1) & F.col(vec).isNotNull())
     single = wanted.groupBy(item, number).agg(F.min_by(vec, row_id).alias("_v"))
     entry = F.struct(F.col(number).alias("n"), F.col("_v").alias("v"))
     listed = single.groupBy(item).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
@@ -64,6 +69,11 @@ def mean_pool_images(df: DataFrame, item: str, number: str, row_id: str, vec: st
     )
 
 
+def images_left_out(df: DataFrame, number: str, most: int = MAX_IMAGES) -> DataFrame:
+    """The rows whose image number is past those that :func:`mean_pool_images` looks at."""
+    return df.where((F.col(number) >= most) | (F.col(number) < 0) | F.col(number).isNull())
+
+
 def masked_mean_pool(
     tokens: DataFrame, row_id: str, vec: str, mask: str
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kindred.session import broadcast_if_small
 
 BUCKET_ROWS = 500_000
+QUANTILES = 200
 
 
 def _exclusive(total: Column, window) -> Column:
@@ -21,10 +22,21 @@ def _exclusive(total: Column, window) -> Column:
     return F.coalesce(F.sum(total).over(before), F.lit(0))
 
 
+def group_join(
+    df: DataFrame, other: DataFrame, groups: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on group columns, where NULL is a group like any other, as in a window."""
+    own = {g: f"_other_{g}" for g in groups}
+    same = F.lit(True)
+    for g, name in own.items():
+        same = same & df[g].eqNullSafe(F.col(name))
+    return df.join(other.withColumnsRenamed(own), same, how).drop(*own.values())
+
+
 def _with_size(df: DataFrame, groups: Sequence[str], name: str) -> DataFrame:
     size = F.count(F.lit(1)).alias(name)
     if groups:
-        return df.join(broadcast_if_small(df.groupBy(*groups).agg(size)), list(groups))
+        return group_join(df, broadcast_if_small(df.groupBy(*groups).agg(size)), groups)
     return df.withColumn(name, df.agg(size).scalar())
 
 
@@ -51,7 +63,7 @@ def shuffled_index(
     )
     in_bucket = Window.partitionBy(*groups, "_bucket").orderBy(unit, row_id)
     return (
-        cut.join(offsets, [*groups, "_bucket"])
+        group_join(cut, offsets, [*groups, "_bucket"])
         .withColumn("idx", F.col("_offset") + F.row_number().over(in_bucket) - 1)
         .drop("_bucket", "_offset")
     )
@@ -67,26 +79,25 @@ def blocked_index(
 ) -> DataFrame:
     """Number the rows of each group so that rows of one block are neighbours.
 
-    Adds ``idx`` (from 0), ``block_start``, ``block_rows`` and ``group_rows``. Groups and blocks
-    must not be NULL.
+    Adds ``idx`` (from 0), ``block_start``, ``block_rows`` and ``group_rows``.
     """
     widths = df.groupBy(*groups, block).agg(F.count(F.lit(1)).alias("block_rows"))
     sizes = widths.groupBy(*groups).agg(F.sum("block_rows").alias("group_rows"))
     buckets = F.ceil(F.col("group_rows") / F.lit(bucket_rows)).cast("bigint")
-    blocks = widths.join(sizes, list(groups)).withColumn(
+    blocks = group_join(widths, sizes, groups).withColumn(
         "_part", F.pmod(F.xxhash64(block), buckets)
     )
     parts = blocks.groupBy(*groups, "_part").agg(F.sum("block_rows").alias("_rows"))
     part_order = Window.partitionBy(*groups).orderBy("_part")
     parts = parts.select(*groups, "_part", _exclusive(F.col("_rows"), part_order).alias("_before"))
     block_order = Window.partitionBy(*groups, "_part").orderBy(block)
+    inside = blocks.withColumn("_inside", _exclusive(F.col("block_rows"), block_order))
     starts = (
-        blocks.withColumn("_inside", _exclusive(F.col("block_rows"), block_order))
-        .join(parts, [*groups, "_part"])
+        group_join(inside, parts, [*groups, "_part"])
         .withColumn("block_start", F.col("_before") + F.col("_inside"))
         .drop("_part", "_inside", "_before")
     )
-    placed = df.join(starts, [*groups, block])
+    placed = group_join(df, starts, [*groups, block])
     indexed = shuffled_index(
         placed, unit, row_id, [*groups, block], size="block_rows", bucket_rows=bucket_rows
     )
@@ -103,20 +114,25 @@ def running_sums(
 ) -> DataFrame:
     """Sums from the start of the group up to each row, in the order of a numeric column.
 
-    Groups above ``bucket_rows`` rows are cut into equal ranges of ``order``. There are at most
-    ``rows / bucket_rows`` such groups, so the table that describes them stays small.
+    Groups above ``bucket_rows`` rows are cut at quantiles of ``order``, so that outliers don't crowd
+    the others together. There are at most ``rows / bucket_rows`` such groups, so the table that
+    describes them stays small. Rows of one value of ``order`` stay in one bucket.
     """
     place = F.col(order).cast("double")
+    steps = F.array(*[F.lit((i + 1) / QUANTILES) for i in range(QUANTILES - 1)])
+    step = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES * bucket_rows) / F.col("_rows")))
+    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = counts.where(F.col("_rows") > bucket_rows)
     large = (
-        df.groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(place).alias("_lo"), F.max(place).alias("_hi"))
-        .where(F.col("_rows") > bucket_rows)
-        .withColumn("_ranges", F.ceil(F.col("_rows") / F.lit(bucket_rows)))
+        group_join(df, broadcast_if_small(counts), groups)
+        .groupBy(*groups, "_rows")
+        .agg(F.percentile_approx(place, steps, 10_000).alias("_cuts"))
+        .withColumn("_cuts", F.filter("_cuts", lambda c, i: (i + 1) % step == 0))
     )
-    share = (place - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    bucket = F.coalesce(F.floor(share * F.col("_ranges")), F.lit(0))
-    cut = df.join(broadcast_if_small(large), list(groups), "left").withColumn("_bucket", bucket)
-    cut = cut.drop("_rows", "_lo", "_hi", "_ranges")
+    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < place)), F.lit(0))
+    marked = group_join(df, broadcast_if_small(large), groups, "left")
+    # without cuts size() is NULL or -1: one bucket
+    cut = marked.withColumn("_bucket", F.greatest(bucket, F.lit(0))).drop("_rows", "_cuts")
     totals = cut.groupBy(*groups, "_bucket").agg(
         *[F.sum(v).alias("_total_" + n) for n, v in values.items()]
     )
@@ -131,7 +147,7 @@ def running_sums(
         .orderBy(order, *ties)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = cut.join(offsets, [*groups, "_bucket"])
+    joined = group_join(cut, offsets, [*groups, "_bucket"])
     sums = [
         (F.col("_before_" + n) + F.coalesce(F.sum(v).over(in_bucket), F.lit(0))).alias(n)
         for n, v in values.items()

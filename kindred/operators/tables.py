@@ -29,7 +29,7 @@ def valid_sku(df: DataFrame, column: str = "sku") -> DataFrame:
 
 
 def with_canonical_ids(df: DataFrame, columns: Sequence[str], positive: str) -> DataFrame:
-    """Drop rows whose ``positive`` id is zero or less, then rewrite ids as integer text."""
+    """Keep rows whose ``positive`` id is above zero, then rewrite ids as integer text."""
     kept = df.where(is_positive_id(F.col(positive)))
     return kept.withColumns({c: canonical_id(F.col(c)) for c in columns})
 

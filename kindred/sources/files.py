@@ -9,10 +9,16 @@ from kindred.functions.codec import decode_vector
 LABEL_PREFIX = "__label__"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Comma-separated file with a header line; quotes inside a quoted value are doubled."""
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str, line_ends_in_values: bool = False
+) -> DataFrame:
+    """Comma-separated file with a header line; quotes inside a quoted value are doubled.
+
+    A file whose quoted values hold line ends can't be split and is read by one task; it has to be
+    asked for by ``line_ends_in_values``.
+    """
     return spark.read.schema(schema).csv(
-        path, header=True, multiLine=True, quote='"', escape='"'
+        path, header=True, multiLine=line_ends_in_values, quote='"', escape='"'
     )
 
 
@@ -22,12 +28,18 @@ def read_word_list(spark: SparkSession, path: str, column: str = "stopword") ->
 
 
 def split_labelled(lines: DataFrame) -> DataFrame:
-    """``label, text`` of lines like ``__label__X text``; blank lines are skipped."""
+    """``label, text, labels`` of lines like ``__label__X text``; blank lines are skipped.
+
+    ``labels`` are all that stand before the text and ``label`` the first of them; a line without
+    one has the label '' and keeps its text.
+    """
     line = F.trim("value")
-    pattern = f"^{LABEL_PREFIX}(\\S+)\\s*(.*)$"
+    leading = F.regexp_extract(line, f"^((?:{LABEL_PREFIX}\\S+\\s*)*)", 1)
+    labels = F.regexp_extract_all(leading, F.lit(f"{LABEL_PREFIX}(\\S+)"), F.lit(1))
     return lines.where(line != "").select(
-        F.regexp_extract(line, pattern, 1).alias("label"),
-        F.regexp_extract(line, pattern, 2).alias("text"),
+        F.coalesce(F.get(labels, F.lit(0)), F.lit("")).alias("label"),
+        F.substr(line, F.char_length(leading) + 1).alias("text"),
+        labels.alias("labels"),
     )
 
 
@@ -46,13 +58,13 @@ def read_vector_files(
 ) -> DataFrame:
     """One file per item with one number per line; the key is cut from the file's path.
 
-    Files that hold anything but numbers are left out.
+    Files that hold anything but numbers are returned with a NULL vector.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(
         F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias(key),
         decode_vector(F.rtrim(F.regexp_replace("value", r"\s+", " ")), " ").alias("vec"),
-    ).where(F.col("vec").isNotNull())
+    )
 
 
 def write_vector_files(df: DataFrame, item: str, vec: str, path: str) -> None:

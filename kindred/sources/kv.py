@@ -46,11 +46,15 @@ Batch = list[tuple[str, str, object]]
 
 
 def write_kv(
-    rows: DataFrame, connect: Callable[[], Callable[[Batch], None]], batch: int = BATCH
+    rows: DataFrame,
+    connect: Callable[[], Callable[[Batch], None]],
+    batch: int = BATCH,
+    order: str = "value",
 ) -> None:
-    """Send ``(key, value, expire_at)`` to a store in batches.
+    """Send one ``(key, value, expire_at)`` per key to a store in batches.
 
-    ``connect`` runs once per task and returns the function that stores a batch. Setting a key is
+    Of rows with one key the one with the greatest ``order`` is sent, so that every run publishes
+    the same. ``connect`` runs once per task and returns the function that stores a batch. Setting a key is
     idempotent, so a retried task does no harm.
     """
 
@@ -66,4 +70,6 @@ def write_kv(
         if pending:
             (store or connect())(pending)
 
-    rows.select("key", "value", "expire_at").foreachPartition(send)
+    columns = list(dict.fromkeys(["key", "value", "expire_at", order]))
+    single = one_value_per_key(rows.select(*columns), order)
+    single.select("key", "value", "expire_at").foreachPartition(send)

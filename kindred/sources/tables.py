@@ -16,10 +16,27 @@ def embedding_schema(key: str, *vectors: str) -> StructType:
 
 
 def as_typed(df: DataFrame, schema: StructType) -> DataFrame:
-    """Columns of the schema, cast; rows without a required value are left out."""
-    required = [f.name for f in schema.fields if not f.nullable]
-    cast = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    return cast.dropna(subset=required) if required else cast
+    """Columns of the schema, cast; a row without a required value stops the job.
+
+    Part such rows off first with :func:`without_required` where they are to be expected.
+    """
+
+    def typed(f: StructField):
+        value = F.col(f.name).cast(f.dataType)
+        if not f.nullable:
+            value = F.coalesce(value, F.raise_error(F.lit(f"a row has no {f.name}")).cast(f.dataType))
+        return value.alias(f.name)
+
+    return df.select(*[typed(f) for f in schema.fields])
+
+
+def without_required(df: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows that have all required values, and those that don't."""
+    odd = F.lit(False)
+    for f in schema.fields:
+        if not f.nullable:
+            odd = odd | F.col(f.name).cast(f.dataType).isNull()
+    return df.where(~odd), df.where(odd)
 
 
 def write_table(

@@ -63,13 +63,24 @@ def test_phrases_are_removed_in_order(spark):
 
 @pytest.mark.parametrize(
     "value, expected",
-    [("12.0", "12"), ("12", "12"), ("nan", ""), ("abc", ""), (None, ""), ("3e3", "3000")],
+    [("12.0", "12"), ("12", "12"), ("nan", ""), ("abc", ""), (None, ""), ("3e3", "3000"),
+     ("9007199254740993", "9007199254740993"), ("1e30", ""), ("-3.7", "-3")],
 )
 def test_canonical_id(spark, value, expected):
     df = spark.createDataFrame([(value,)], "v string")
     assert df.select(keys.canonical_id(F.col("v"))).collect()[0][0] == expected
 
 
+def test_missing_ids_are_not_positive(spark):
+    df = spark.createDataFrame([("1",), ("0.5",), ("nan",), (None,), ("-1",), ("x",)], "v string")
+    assert [r["v"] for r in df.where(keys.is_positive_id(F.col("v"))).collect()] == ["1", "0.5"]
+
+
+def test_vector_with_a_missing_element(spark):
+    df = spark.createDataFrame([([1.0, None, 3.0],), ([],), (None,)], "v array<double>")
+    assert [r[0] for r in df.select(codec.encode_vector(F.col("v"))).collect()] == [None, "[]", None]
+
+
 def test_dates_and_keys(spark):
     assert one(spark, keys.shift_date("2024-03-01", -7)) == "2024-02-23"
     assert one(spark, keys.dated_key("2024-03-01", F.lit("S1"))) == "20240301:S1"

@@ -199,6 +199,26 @@ def test_writer_sends_batches(spark, tmp_path):
     assert sorted(sizes) == [5, 10, 10]
 
 
+def test_one_value_per_key_is_sent(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def connect():
+        def store(batch):
+            for key, value, _ in batch:
+                with open(f"{folder}/{key}", "a") as out:
+                    out.write(value + ";")
+
+        return store
+
+    rows = [("k", "a", 1), ("k", "c", 0), ("k", "b", 2), ("m", "x", 1)]
+    df = spark.createDataFrame(rows, "key string, value string, area_id int")
+    df = df.withColumn("expire_at", F.current_timestamp()).repartition(4)
+    kv.write_kv(df, connect)
+    assert (tmp_path / "k").read_text() == "c;" and (tmp_path / "m").read_text() == "x;"
+    kv.write_kv(df, connect, order="area_id")
+    assert (tmp_path / "k").read_text() == "c;b;"
+
+
 # --- media -------------------------------------------------------------------------------------
 
 
@@ -228,9 +248,12 @@ def test_fetch_reports_failures_and_goes_on(spark):
 
 
 def test_labelled_lines(spark, tmp_path):
-    (tmp_path / "t.txt").write_text("__label__a  one two \n\n   \n__label__b\n__label__c x\n")
+    (tmp_path / "t.txt").write_text("__label__a  one two \n\n   \n__label__b\n__label__c x\nno label\n__label__d __label__e y\n")
     rows = files.read_labelled_lines(spark, str(tmp_path)).collect()
-    assert [tuple(r) for r in rows] == [("a", "one two"), ("b", ""), ("c", "x")]
+    assert [(r["label"], r["text"]) for r in rows] == [
+        ("a", "one two"), ("b", ""), ("c", "x"), ("", "no label"), ("d", "y")
+    ]
+    assert [r["labels"] for r in rows][-2:] == [[], ["d", "e"]]
 
 
 def test_word_list_keeps_quotes(spark, tmp_path):
@@ -243,10 +266,16 @@ def test_vector_files(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "emb.txt").write_text(body)
     read = files.read_vector_files(spark, str(tmp_path), r"/([^/]+)/emb\.txt$").collect()
-    assert [(r["item"], r["vec"]) for r in read] == [("1", pytest.approx([1.5, -0.2]))]
+    assert sorted((r["item"], r["vec"]) for r in read) == [
+        ("1", pytest.approx([1.5, -0.2])), ("2", None)
+    ]  # an empty file has no row
 
 
 def test_required_columns(spark):
     df = spark.createDataFrame([("a", 1), (None, 2)], "k string, e int")
-    typed = W.as_typed(df.withColumn("modifydate", F.lit("d")), W.embedding_schema("k", "e"))
-    assert [tuple(r) for r in typed.collect()] == [("a", "1", "d")]
+    schema = W.embedding_schema("k", "e")
+    good, odd = W.without_required(df.withColumn("modifydate", F.lit("d")), schema)
+    assert [tuple(r) for r in W.as_typed(good, schema).collect()] == [("a", "1", "d")]
+    assert [r["e"] for r in odd.collect()] == [2]
+    with pytest.raises(Exception, match="a row has no k"):
+        W.as_typed(df.withColumn("modifydate", F.lit("d")), schema).collect()

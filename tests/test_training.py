@@ -11,7 +11,7 @@ from kindred.operators import embed as M
 from kindred.operators import evaluate as E
 from kindred.operators import sampling as S
 from kindred.operators.ranking import blocked_index, running_sums, shuffled_index
-from kindred.operators.scoring import class_scores
+from kindred.operators.scoring import best_class, class_scores, dense_classes
 from kindred.operators.tokens import build_vocabulary, tokenize_pad
 
 
@@ -157,17 +157,56 @@ def test_tokens(spark):
     }
 
 
-@pytest.mark.parametrize("class_rows", [2, 100])
-def test_class_scores_in_chunks(spark, class_rows):
-    items = spark.createDataFrame([(n, [float(n), 1.0]) for n in range(20)], "i int, v array<float>")
+@pytest.mark.parametrize("class_rows, class_bytes", [(2, 0), (100, 0), (100, 1 << 20)])
+def test_class_scores_in_chunks(spark, class_rows, class_bytes):
+    items = spark.createDataFrame([(n % 20, [float(n % 20), 1.0]) for n in range(22)], "i int, v array<float>")
     classes = spark.createDataFrame(
         [(c, [1.0, float(c)], 0.5 * c) for c in range(5)], "c int, w array<float>, b double"
     )
     scored = class_scores(
-        items, classes, row_id="i", vec="v", class_id="c", weights="w", bias="b", item_rows=3, class_rows=class_rows
-    )
-    got = {r["i"]: r["scores"] for r in scored.collect()}
+        items, classes, row_id="i", vec="v", class_id="c", weights="w", bias="b", item_rows=3,
+        class_rows=class_rows, class_bytes=class_bytes,
+    )
+    rows = scored.collect()
+    assert len(rows) == 22  # rows of one id are scored each
+    got = {r["i"]: r["scores"] for r in rows}
     assert got == {n: pytest.approx([n + c + 0.5 * c for c in range(5)]) for n in range(20)}
+    best = best_class(items, classes, row_id="i", vec="v", class_id="c", weights="w", bias="b").collect()
+    assert len(best) == 22 and {(r["class_id"], r["score"] == r["i"] + 6.0) for r in best} == {(4, True)}
+    assert class_scores(items, classes.limit(0), row_id="i", vec="v", class_id="c", weights="w").first()["scores"] == []
+
+
+def test_class_ids_with_gaps(spark):
+    items = spark.createDataFrame([(1, [1.0, 2.0])], "i int, v array<float>")
+    classes = spark.createDataFrame([("x", [1.0, 0.0]), ("z", [0.0, 1.0])], "name string, w array<float>")
+    numbered = dense_classes(classes, "name")
+    assert class_scores(items, numbered, row_id="i", vec="v", class_id="class_place", weights="w").first()["scores"] == [1.0, 2.0]
+    gaps = numbered.withColumn("class_place", F.col("class_place") * 5)
+    with pytest.raises(ValueError, match="gaps"):
+        class_scores(items, gaps, row_id="i", vec="v", class_id="class_place", weights="w")
+    ragged = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "i int, v array<float>").coalesce(1)
+    with pytest.raises(Exception, match="different lengths"):
+        class_scores(ragged, numbered, row_id="i", vec="v", class_id="class_place", weights="w").collect()
+
+
+def test_mean_vector_passes_over_missing_vectors(spark):
+    df = spark.createDataFrame([(1, [2.0, 4.0]), (1, None), (1, [4.0, 8.0])], "k int, v array<double>")
+    for dims in (2, None):
+        assert M.mean_vector(df, ["k"], F.col("v"), dims=dims).first()["vec"] == [3.0, 6.0]
+    for dims in (1, None):
+        odd = df.unionByName(spark.createDataFrame([(1, [1.0])], df.schema))
+        with pytest.raises(Exception):
+            M.mean_vector(odd, ["k"], F.col("v"), dims=dims).collect()
+
+
+def test_null_groups_and_outliers(spark):
+    rows = [(None, float(i), 1) for i in range(30)] + [("a", float(i), 1) for i in range(9)] + [(None, 1e12, 1)]
+    df = spark.createDataFrame(rows, "g string, o double, x int")
+    summed = running_sums(df, ["g"], "o", {"s": F.col("x")}, bucket_rows=8).collect()
+    want = {(g, o): n + 1 for g in (None, "a") for n, o in enumerate(sorted(r[1] for r in rows if r[0] == g))}
+    assert {(r["g"], r["o"]): r["s"] for r in summed} == want
+    numbered = shuffled_index(df.withColumn("u", (F.xxhash64("o") % 1000 + 1000) / 2000), "u", "o", ["g"], bucket_rows=8)
+    assert sorted(r["idx"] for r in numbered.where("g is null").collect()) == list(range(31))
 
 
 def test_metrics(spark):
