@@ -159,7 +159,7 @@ def negative_pairs(spark, folder):
     return mined(spark, folder).where(F.col("kind").startswith("other"))
 
 
-LENGTH, VOCABULARY = 8, 60
+LENGTH = 80
 
 
 def ids_sql(name: str, column: str) -> str:
@@ -182,8 +182,7 @@ def padded_sql(c: str) -> str:
     f"""with {PAIR_ITEMS}, {PAIRS}, vocabulary as (
       select word, row_number() over (order by uses desc, word) + 1 as token_id
       from (select word, count(*) as uses from (
-        select unnest({words_sql('title')}) as word from pair_items) group by word)
-      order by uses desc, word limit {VOCABULARY}),
+        select unnest({words_sql('title')}) as word from pair_items) group by word)),
     {ids_sql('q', 'query')}, {ids_sql('t', 'title')}
     select p.id, p.label, {padded_sql('q.ids')} as query_ids, len(q.ids) as query_used,
       {padded_sql('t.ids')} as title_ids, len(t.ids) as title_used
@@ -191,7 +190,7 @@ def padded_sql(c: str) -> str:
 )
 def pair_tokens(spark, folder):
     samples = mined(spark, folder)
-    vocabulary = build_vocabulary(pair_items(spark, folder), [F.col("title")], VOCABULARY)
+    vocabulary = build_vocabulary(pair_items(spark, folder), [F.col("title")])
     sides = {"query_tokens": F.col("query"), "title_tokens": F.col("title")}
     records = tokenize_pad(samples, "id", sides, vocabulary, LENGTH)
     joined = samples.select("id", "label").join(records, "id")

@@ -53,15 +53,14 @@ def cleaned(spark, folder):
 WORDS = f"""tokens as (
   select doc_id, unnest(w) as word, unnest(range(0, len(w))) as pos
   from (select doc_id, {words_sql('text')} as w from documents))"""
-VOCABULARY_SIZE, LENGTH = 500, 32
+LENGTH = 128
 
 
 @query(
     "tokenize_pad",
     f"""with {WORDS}, vocabulary as (
       select word, row_number() over (order by uses desc, word) + 1 as token_id
-      from (select word, count(*) as uses from tokens group by word)
-      order by uses desc, word limit {VOCABULARY_SIZE}),
+      from (select word, count(*) as uses from tokens group by word)),
     ids as (select doc_id, list(coalesce(token_id, 1) order by pos) as ids
       from tokens left join vocabulary using (word) where pos < {LENGTH} group by doc_id),
     whole as (select d.doc_id, coalesce(i.ids, []) as ids from documents d left join ids i
@@ -72,7 +71,7 @@ VOCABULARY_SIZE, LENGTH = 500, 32
 )
 def tokenized(spark, folder):
     documents = table(spark, folder, "documents")
-    vocabulary = build_vocabulary(documents, [F.col("text")], VOCABULARY_SIZE)
+    vocabulary = build_vocabulary(documents, [F.col("text")])
     records = tokenize_pad(documents, "doc_id", {"tokens": F.col("text")}, vocabulary, LENGTH)
     used = F.aggregate("tokens.attention_mask", F.lit(0), lambda acc, x: acc + x)
     return records.select(

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from kindred.functions.text import words
 from kindred.functions.vectors import mean_of
+from kindred.session import materialize
 
 MAX_IMAGES = 8  # how many images of an item are pooled unless another number is asked for
 MAX_COLUMNS = 128
@@ -92,20 +93,34 @@ def masked_mean_pool(
     return summed.select(row_id, F.when(F.col("_n") > 0, mean).alias("vec"))
 
 
+FREQUENT_WORDS = 5000  # words whose vectors travel to every task
+
+
 def sentence_vectors(
-    df: DataFrame, row_id: str, text: Column, word_vectors: DataFrame, dims: int | None = None
+    df: DataFrame,
+    row_id: str,
+    text: Column,
+    word_vectors: DataFrame,
+    dims: int | None = None,
+    frequent: int = FREQUENT_WORDS,
 ) -> DataFrame:
     """Mean of the vectors of a text's known words; ``word_vectors`` holds ``word, vec``.
 
-    Repeated words are counted before the join, so a frequent word crosses it once per text.
+    The ``frequent`` most frequent words, which make up most of any text, are broadcast; their
+    vectors are added up where the text is read. Only the rarer words are shuffled, so no word that
+    stands in every text is a join key.
     """
-    counts = (
-        df.select(row_id, F.explode(words(text)).alias("word"))
-        .groupBy(row_id, "word")
-        .agg(F.count(F.lit(1)).alias("uses"))
+    tokens = df.select(row_id, F.explode(words(text)).alias("word"))
+    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("_uses"))
+    top = counts.orderBy(F.desc("_uses"), "word").limit(frequent).select("word")
+    held = materialize(top.join(word_vectors.select("word", "vec"), "word", "left"), "frequent-words")
+    held = held.withColumn("_frequent", F.lit(True))
+    marked = tokens.join(F.broadcast(held), "word", "left")  # ``frequent`` rows
+    rare = marked.where("_frequent is null").select(row_id, "word")
+    joined = marked.where("_frequent").select(row_id, "vec").unionByName(
+        rare.join(word_vectors.select("word", "vec"), "word").select(row_id, "vec")
     )
-    joined = counts.join(word_vectors, "word")
-    return mean_vector(joined, [row_id], F.col("vec"), F.col("uses"), dims)
+    return mean_vector(joined, [row_id], F.col("vec"), dims=dims)
 
 
 ModelFactory = Callable[[], Callable[[pd.DataFrame], Sequence]]

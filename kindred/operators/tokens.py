@@ -4,23 +4,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import words
+from kindred.session import broadcast_if_small, materialize
 
 PAD_ID = 0
 UNKNOWN_ID = 1
 FIRST_WORD_ID = 2
-MAX_VOCABULARY = 21_128
+IN_PARTITION = (1 << 33) - 1  # bits of a row's place within its partition
 
 
-def build_vocabulary(df: DataFrame, texts: list[Column], size: int = MAX_VOCABULARY) -> DataFrame:
-    """The ``size`` most frequent words with their ids; ties go to the lesser word.
+def build_vocabulary(df: DataFrame, texts: list[Column], size: int | None = None) -> DataFrame:
+    """All words, or the ``size`` most frequent, with their ids; ties go to the lesser word.
 
-    The limit is part of the vocabulary's definition, so numbering it is a small, bounded sort.
+    Words are sorted by ranges and numbered in each; only the row counts of ranges are added up.
     """
     tokens = df.select(F.explode(F.concat(*[words(t) for t in texts])).alias("word"))
     counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    top = counts.orderBy(F.desc("uses"), "word").limit(size)
-    place = F.row_number().over(Window.orderBy(F.desc("uses"), "word"))
-    return top.select("word", "uses", (place - 1 + FIRST_WORD_ID).cast("int").alias("token_id"))
+    ordered = counts.orderBy(F.desc("uses"), "word")
+    if size is not None:
+        ordered = ordered.limit(size)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(IN_PARTITION))
+    placed = materialize(
+        ordered.withColumns({"_part": F.spark_partition_id(), "_place": place}), "vocabulary"
+    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = starts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    token_id = F.col("_start") + F.col("_place") + FIRST_WORD_ID
+    return placed.join(broadcast_if_small(starts), "_part").select(
+        "word", "uses", token_id.cast("int").alias("token_id")
+    )
 
 
 def tokenize_pad(
@@ -29,7 +41,7 @@ def tokenize_pad(
     """Per row and text column a struct of ``input_ids``, ``token_type_ids``, ``attention_mask``.
 
     ``texts`` maps output names to text expressions. Each array has exactly ``length`` entries.
-    The vocabulary has a fixed largest size and is broadcast.
+    A small vocabulary is broadcast, a larger one joined by word.
     """
     sides = F.array(
         *[
@@ -43,7 +55,7 @@ def tokenize_pad(
     tokens = (
         df.select(F.col(row_id), F.explode(sides).alias("_s"))
         .select(row_id, "_s.side", F.posexplode_outer("_s.words").alias("pos", "word"))
-        .join(F.broadcast(vocabulary.select("word", "token_id")), "word", "left")
+        .join(broadcast_if_small(vocabulary.select("word", "token_id")), "word", "left")
     )
     token = F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
     found = F.when(F.col("word").isNotNull(), token)

@@ -94,12 +94,28 @@ def incremental_embeddings(
     day: str,
     stamp: str = "all",
 ) -> DataFrame:
-    """Embed the items missing from ``old`` and append them; failed rows wait for the next run."""
-    missing = new_items(items, old, key)
-    embedded = embed_batch(missing, key, inputs, load_model).where(F.col("vec").isNotNull())
+    """Embed the items missing from ``old`` and append them; failed rows wait for the next run.
+
+    :func:`embedding_attempts` tells which rows fail and why.
+    """
+    tried = embedding_attempts(items, old, key=key, inputs=inputs, load_model=load_model)
+    embedded = tried.where(F.col("vec").isNotNull())
     return append_embeddings(old, encoded_rows(embedded, key, F.col("vec"), name), day, stamp)
 
 
+def embedding_attempts(
+    items: DataFrame, old: DataFrame, *, key: str, inputs: Sequence[str], load_model: ModelFactory
+) -> DataFrame:
+    """``key, vec, error`` of every item missing from ``old``; of rows with one key the greatest counts."""
+    others = [c for c in dict.fromkeys(inputs) if c != key]
+    if others:
+        greatest = F.max(F.struct(*others)).alias("_row")
+        single = items.groupBy(key).agg(greatest).select(key, "_row.*")
+    else:
+        single = items.select(key).distinct()
+    return embed_batch(new_items(single, old, key), key, inputs, load_model)
+
+
 def refresh_embeddings(
     items: DataFrame, cache: DataFrame, *, key: str, vec: str, name: str, day: str
 ) -> DataFrame:
