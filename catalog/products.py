@@ -103,15 +103,16 @@ def job_counts(spark, folder):
 
 
 DIGITS = "'0123456789'"
+TITLE = f"""trim(regexp_replace(concat(
+  translate(first_level_category_name, {DIGITS}, ''), ' ',
+  translate(second_level_category_name, {DIGITS}, ''), ' ',
+  coalesce(product_name, ''), ' ', translate(coalesce(product_title, ''), {DIGITS}, '')),
+  '\\s+', ' ', 'g'))"""
 
 
 @query(
     "gen_title",
-    f"""with {PRODUCT_DAILY} select spu_sn, area_id, dt, trim(regexp_replace(concat(
-      translate(first_level_category_name, {DIGITS}, ''), ' ',
-      translate(second_level_category_name, {DIGITS}, ''), ' ',
-      coalesce(product_name, ''), ' ', translate(coalesce(product_title, ''), {DIGITS}, '')),
-      '\\s+', ' ', 'g')) as title from product_daily""",
+    f"with {PRODUCT_DAILY} select spu_sn, area_id, dt, {TITLE} as title from product_daily",
 )
 def gen_title(spark, folder):
     return T.with_title(product_daily(spark, folder)).select("spu_sn", "area_id", "dt", "title")

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from kindred.functions.codec import encode_vector
 from kindred.functions.vectors import l2_normalize
-from kindred.operators.embed import ModelFactory, embed_batch
+from kindred.operators.embed import (
+    ModelFactory,
+    embed_batch,
+    mean_pool_images,
+    sentence_vectors,
+)
 from kindred.operators.merge import append_embeddings, merge_neighbours, new_items
 from kindred.operators.similar import (
     BLOCK_ROWS,
@@ -16,6 +21,8 @@ from kindred.operators.similar import (
     similar_before_rules,
     similar_recent,
 )
+from kindred.operators.tables import valid_sku, with_title
+from kindred.session import materialize
 
 KEYS = {"q_area_id": "area_id", "q_spu_sn": "spu_sn"}
 TEXT_CATEGORY = "first_level_category_id"
@@ -75,6 +82,41 @@ def similar_items_recent(
     )
 
 
+def search_rows(
+    products: DataFrame,
+    images: DataFrame,
+    word_vectors: DataFrame,
+    *,
+    row_id: str = "row_id",
+    item: str = "spu_sn",
+    dims: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """What the searches read, made from products, image vectors and word vectors; and the errors.
+
+    ``products``: one row per area and item with its categories, names and ``sku``; rows without
+    sku are left out. ``images``: ``spu_sn, n, image_id, vec``, numbered from 0. Titles become mean
+    word vectors, images mean vectors. The error rows (``row_id, spu_sn, error``) have no title
+    vector, no image vector or neither, and take no part in that search.
+    """
+    titled = with_title(valid_sku(products))
+    text = sentence_vectors(titled, row_id, F.col("title"), word_vectors, dims)
+    image = mean_pool_images(images, item, "n", "image_id", "vec")
+    rows = materialize(
+        titled.join(text.select(row_id, F.col("vec").alias("text_vec")), row_id, "left").join(
+            image.select(item, F.col("vec").alias("image_vec")), item, "left"
+        ),
+        "search-rows",
+    )
+    missing = F.array_compact(
+        F.array(
+            F.when(F.col("text_vec").isNull(), "no known word in the title"),
+            F.when(F.col("image_vec").isNull(), "no image"),
+        )
+    )
+    failed = rows.where("text_vec is null or image_vec is null")
+    return rows, failed.select(row_id, item, F.array_join(missing, ", ").alias("error"))
+
+
 def encoded_rows(vectors: DataFrame, key: str, vec: Column, name: str) -> DataFrame:
     """Unit vectors as bracketed text."""
     unit = l2_normalize(vec, zero="nan")
