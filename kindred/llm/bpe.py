@@ -29,6 +29,11 @@ class Cache(dict):
         super().__init__()
         self.entries, self.old = entries, {}
 
+    def make_room(self, entries: int) -> None:
+        if len(self) + entries > self.entries and self:
+            self.old = dict(self)
+            self.clear()
+
     def again(self, key):
         """What the old entries have for a key that isn't here; it stays from now on."""
         value = self.old.get(key)
@@ -37,8 +42,7 @@ class Cache(dict):
     def keep(self, key, value):
         if len(key) <= CACHED_LENGTH:
             if len(self) >= self.entries:
-                self.old = dict(self)
-                self.clear()
+                self.make_room(1)
             self[key] = value
         return value
 

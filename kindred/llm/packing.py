@@ -7,6 +7,7 @@ class; the pieces numbered ``i * j`` to ``i * j + j - 1`` fill bin ``i``. Only t
 workers are added up, and only each class's last, partly filled bin is packed again.
 """
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -15,25 +16,62 @@ from struct import pack as packed
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kindred.llm.bpe import LETTER, Cache
+from kindred.llm.bpe import CACHED_LENGTH, LETTER, Cache
 from kindred.llm.columns import arrow_schema, slices
 from kindred.session import broadcast_if_small, materialize
 
+# fixed pattern: how byte-level files of this kind split words
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-# white space beside white space, at an end, or outside ASCII; or the mark used for cutting
-CAREFUL = re.compile(
-    rb"[\x09-\x0d\x1c-\x20]{2}|\A[ \n]|[ \n]\Z|\0|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80"
-)
-PLAIN = re.compile(rb"( ?" + LETTER + rb"+)([.,;:!?|])")
+NEIGHBOURS = (b"  ", b" \n", b"\n ", b"\n\n")
+OTHER_SPACE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\0"  # and the mark used for cutting
+WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80")
+# Latin letters, on which all word splitters agree, and one mark
+PLAIN = re.compile(rb"( ?" + LETTER + rb"+)([.,;:!?|]?)")
+
+
+def needs_care(text: bytes) -> bool:
+    """Whether white space stands beside white space, at an end, or is not a space or line end."""
+    return (
+        any(pair in text for pair in NEIGHBOURS)
+        or text[:1] in (b" ", b"\n")
+        or text[-1:] in (b" ", b"\n")
+        or len(text.translate(None, OTHER_SPACE)) != len(text)
+        or any(space in text for space in WIDE_SPACE)
+    )
+
+
+def rank_encoder(path: str) -> tiktoken.Encoding | None:
+    """The file's vocabulary as ranks, which encode single words faster; None if it has other rules.
+
+    Ranks serve where tokens are numbered in the order of the merges that make them.
+    """
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    model, splitter = config["model"], config["pre_tokenizer"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    numbers = [model["vocab"].get(a + b) for a, b in merges]
+    plain = splitter == {
+        "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
+    }
+    if config["normalizer"] or not plain or numbers != sorted(numbers) or model["end_of_word_suffix"]:
+        return None
+    # byte-level files name a byte by itself if it is printable, else by the next free code point
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    names = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
+    ranks = {bytes(names[c] for c in token): i for token, i in model["vocab"].items()}
+    return tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
 class SpacedTokenizer:
-    """Ids by the tokenizers library, each word with the space before it encoded once.
+    """Ids as by the tokenizers library, each word with the space before it encoded once.
 
     For byte-level files: a space or line end between two other characters is a word's border.
     """
@@ -42,32 +80,47 @@ class SpacedTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.ranks = rank_encoder(path)
         self.known = Cache()
 
-    def _library(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return {
-            c: packed(f"<{len(e)}I", *e.ids) for c, e in zip(chunks, found, strict=True)
-        }
+    def _encoded(self, word: bytes) -> bytes:
+        """Ids of Latin letters, maybe after a space, or of a mark."""
+        if self.ranks:
+            ids = self.ranks.encode_ordinary(word.decode())
+        else:
+            ids = self.library.encode(word.decode(), add_special_tokens=False).ids
+        return packed(f"<{len(ids)}I", *ids)
 
     def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of the chunks; those of letters and one mark are put together from both."""
-        kept = {c: ids for c in chunks if (ids := self.known.again(c)) is not None}
-        chunks = chunks - kept.keys()
-        halves = {c: m.groups() for c in chunks if (m := PLAIN.fullmatch(c))}
-        parts = {p for pair in halves.values() for p in pair} | (chunks - halves.keys())
-        known = self.known
-        got = {p: v for p in parts if (v := known.get(p) or known.again(p)) is not None}
-        got |= self._library(list(parts - got.keys()))
-        got |= {c: got[word] + got[mark] for c, (word, mark) in halves.items()}
-        for c, ids in got.items():
-            self.known.keep(c, ids)
-        return got | kept
+        """Ids of chunks; those of letters and a mark are put together from both."""
+        known, found, rest = self.known, {}, []
+        known.make_room(2 * len(chunks))
+        for c in chunks:
+            ids = known.old.get(c)
+            if ids is None:
+                plain = PLAIN.fullmatch(c)
+                if not plain:
+                    rest.append(c)
+                    continue
+                word, mark = plain.groups()
+                ids = known.get(word) or known.old.get(word) or self._encoded(word)
+                if mark:
+                    if len(word) <= CACHED_LENGTH:
+                        known[word] = ids
+                    ids += known.get(mark) or self._encoded(mark)
+            found[c] = ids
+            if len(c) <= CACHED_LENGTH:
+                known[c] = ids
+        texts = [c.decode("utf-8", "replace") for c in rest]
+        for c, e in zip(rest, self.library.encode_batch(texts, add_special_tokens=False), strict=True):
+            found[c] = ids = packed(f"<{len(e)}I", *e.ids)
+            if len(c) <= CACHED_LENGTH:
+                known[c] = ids
+        return found
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text in UTF-8, as little-endian unsigned 32-bit integers."""
-        if CAREFUL.search(text):
+        if needs_care(text):
             first, *more = LONE_SPACE.split(text.decode("utf-8", "replace"))
             chunks = [first.encode(), *[f" {m}".encode() for m in more]]
         else:
