@@ -14,11 +14,13 @@ from kindred.session import materialize
 
 PIVOTS = 256
 SAMPLE = 4096  # rows, chosen by a hash of the id, that pivots are taken from
+APART = 0.7  # greatest cosine of two pivots
 PREFIX = 64  # nearest pivots of a vector that are kept
 SHARD_ROWS = 4096
 QUERY_ROWS = 512
 LEAST = 512  # distinct vectors of a shard that are ranked again, or
-SHARE = 8  # one in so many, if that is more
+SHARE = 4  # one in so many, if that is more, and
+CROWD = 0.5  # all that have this share of the credit of an equal order
 
 Pivots = dict[int, np.ndarray]
 
@@ -42,16 +44,20 @@ def odd_of(odd):
 
 
 def choose_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> Pivots:
-    """For each vector length, up to ``pivots`` different unit vectors of a sample of rows."""
+    """For each vector length, up to ``pivots`` unit vectors of a sample of rows.
+
+    None is closer than ``APART`` to another, so that a crowd of alike vectors gives one pivot and
+    doesn't outweigh the others in every order.
+    """
     found = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    out: dict[int, dict[bytes, np.ndarray]] = {}
+    out: dict[int, list[np.ndarray]] = {}
     for r in found:
         v = np.array(r.vec)
         v /= np.linalg.norm(v)
-        kept = out.setdefault(len(v), {})
-        if len(kept) < pivots:
-            kept.setdefault(v.tobytes(), v)
-    return {d: np.stack(list(kept.values())) for d, kept in out.items()}
+        kept = out.setdefault(len(v), [])
+        if not kept or len(kept) < pivots and (np.stack(kept) @ v).max() < APART:
+            kept.append(v)
+    return {d: np.stack(kept) for d, kept in out.items()}
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -69,18 +75,19 @@ def footrule_credit(
     orders of length n then brings the distance down by twice n - max(a, b).
     """
     n, prefix = posted.shape
-    credit = np.zeros((len(asked), n), np.int32)
+    credit = np.zeros((len(asked), n), np.int16 if prefix * prefix < 1 << 15 else np.int32)
     of, place = posted.ravel().argsort(kind="stable"), np.tile(np.arange(prefix), n)
     starts = np.searchsorted(posted.ravel()[of], np.arange(pivots + 1))
     asks, rank = np.nonzero(np.ones_like(asked, bool))
     by = asked.ravel().argsort(kind="stable")
     bounds = np.searchsorted(asked.ravel()[by], np.arange(pivots + 1))
+    worth = np.arange(prefix, 0, -1).astype(credit.dtype)  # of each place
     for p in range(pivots):
         members = of[starts[p] : starts[p + 1]]
         readers = by[bounds[p] : bounds[p + 1]]
         if len(members) and len(readers):
-            worse = np.maximum.outer(rank[readers], place[members])
-            credit[np.ix_(asks[readers], members // prefix)] += (prefix - worse).astype(np.int32)
+            shared = np.minimum.outer(worth[rank[readers]], worth[place[members]])
+            credit[np.ix_(asks[readers], members // prefix)] += shared
     return credit
 
 
@@ -101,19 +108,27 @@ def search_shard(ids, x, query_ids, q, pivots: np.ndarray, k: int, prefix: int):
     keep, copies = distinct_vectors(ids, x, k + 1)
     x = x[keep]
     n = len(x)
+    if not n:
+        return
     wanted = min(n, max(LEAST, -(-n // SHARE)))
     prefix = min(prefix, len(pivots))
     posted, asked = orders(x, pivots, prefix), orders(q, pivots, prefix)
-    credit = footrule_credit(posted, asked, len(pivots)) if wanted < n else None
+    rough = q @ x.T
+    if wanted < n:
+        credit = footrule_credit(posted, asked, len(pivots))
+        last = np.partition(credit, n - wanted, axis=1)[:, n - wanted]
+        # a crowd of vectors with nearly the query's own order is ranked again as a whole
+        crowd = CROWD * prefix * (prefix + 1) / 2
+        rough[credit < np.minimum(last, crowd)[:, None]] = -np.inf
+    # copies only add ids to a vector, so the k + 1 best vectors and their ties are enough; the
+    # margin covers the order of summing, in which the rough scores differ from the exact ones
+    place = max(0, n - k - 1)
+    least = np.partition(rough, place, axis=1)[:, place]
+    margin = 1e-12 * np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1).max())
     for i, own in enumerate(query_ids.tolist()):
-        near = np.arange(n) if credit is None else np.argpartition(-credit[i], wanted - 1)[:wanted]
-        scores = (x[near] * q[i]).sum(axis=1)
-        found: list[tuple[float, int]] = []
-        cut = min(len(near), 2 * k + 2)
-        # copies only add ids to a vector, so the k + 1 best vectors and their ties are enough
-        least = np.partition(-scores, min(k, len(near) - 1))[min(k, len(near) - 1)]
-        for j in np.flatnonzero(-scores <= least) if cut else ():
-            found += [(-scores[j], c) for c in copies[near[j]] if c != own]
+        best = np.flatnonzero((rough[i] >= least[i] - margin[i]) & (rough[i] > -np.inf))
+        scores = (x[best] * q[i]).sum(axis=1).tolist()
+        found = [(-s, c) for s, j in zip(scores, best.tolist(), strict=True) for c in copies[j] if c != own]
         for score, c in sorted(found)[:k]:
             yield own, c, -score
 
