@@ -30,6 +30,6 @@ def test_stages(spark, tmp_path):
             kept = {r.doc_id: r.text for r in docs.collect()}
     assert sizes == [123, 123, 121, 121]
     assert set(kept) == {*range(120), 162}
-    assert kept[162] == extra + "[SECRET]" and kept[5] == clean[5]
+    assert kept[162] == extra + '[SECRET]"' and kept[5] == clean[5]
     assert corpus_pipeline.run(spark, folder).count() == docs.count() > 121
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(kept)
