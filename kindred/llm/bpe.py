@@ -10,6 +10,7 @@ import re
 from functools import lru_cache
 from struct import pack
 
+import numpy as np
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -62,9 +63,8 @@ class ForcedBoundaryBpe:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {pair: i for i, pair in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
-        self.names = {i: t for t, i in self.vocab.items()} | {
-            i: t for t, i in self.special.items()
-        }
+        tokens = {**self.vocab, **self.special}
+        self.names = {i: t.encode() for t, i in tokens.items()}
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
@@ -136,30 +136,24 @@ class ForcedBoundaryBpe:
                     ids += self.word_ids(word)
         return ids
 
-    def _coded(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids]).encode()
-
-    def _plain(self, word: bytes) -> tuple[bytes, bytes]:
-        """Of Latin letters or one mark, which the normalizer only puts in lower case."""
+    def _plain(self, word: bytes) -> bytes:
+        """Ids of Latin letters or one mark, which the normalizer only puts in lower case."""
         word = word.decode().lower().encode()
         got = self.words.get(word) or self.words.again(word)
         if got is None:
-            named = "".join([self.byte_names[b] for b in word])
-            got = self.words.keep(word, self._coded(self.word_ids(named)))
+            ids = self.word_ids("".join([self.byte_names[b] for b in word]))
+            got = self.words.keep(word, pack(f"<{len(ids)}I", *ids))
         return got
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
+    def _chunk(self, chunk: bytes) -> bytes:
         if plain := PLAIN.fullmatch(chunk):
             word, mark = plain.groups()
-            ids, names = self._plain(word)
-            if mark:
-                more, name = self._plain(mark)
-                return ids + more, names + b" " + name
-            return ids, names
-        return self._coded(self.chunk_ids(chunk.decode("utf-8", "replace")))
+            return self._plain(word) + (self._plain(mark) if mark else b"")
+        ids = self.chunk_ids(chunk.decode("utf-8", "replace"))
+        return pack(f"<{len(ids)}I", *ids)
 
-    def encode_decode(self, text: bytes) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the ids decoded; texts in UTF-8.
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text in UTF-8, as little-endian unsigned 32-bit integers.
 
         Words never reach across white space, so what lies between spaces is encoded once.
         """
@@ -168,10 +162,15 @@ class ForcedBoundaryBpe:
         if None in found:
             again, keep = self.chunks.again, self.chunks.keep
             found = [
-                again(c) or keep(c, self._chunk(c)) if f is None else f
-                for c, f in zip(chunks, found, strict=True)
+                again(c) or keep(c, self._chunk(c)) if ids is None else ids
+                for c, ids in zip(chunks, found, strict=True)
             ]
-        return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
+        return b"".join(found)
+
+    def decode(self, ids: bytes) -> bytes:
+        """The tokens of ids with a space between, as files without a decoder are read."""
+        names = self.names
+        return b" ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 @lru_cache(maxsize=2)
@@ -190,7 +189,7 @@ def encode_decode(
     kind = docs.select(f"`{key}`").schema[0].dataType.simpleString()
 
     def both(data: bytes) -> tuple[bytes, str]:
-        ids, decoded = load(path).encode_decode(data)
-        return ids, decoded.decode()
+        ids = load(path).encode(data)
+        return ids, load(path).decode(ids).decode()
 
     return per_text(docs, text, [key], f"`{key}` {kind}, ids binary, decoded string", both)
