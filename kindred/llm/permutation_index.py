@@ -15,7 +15,7 @@ from kindred.session import materialize
 PIVOTS = 256
 SAMPLE = 4096  # rows, chosen by a hash of the id, that pivots are taken from
 APART = 0.7  # greatest cosine of two pivots
-PREFIX = 64  # nearest pivots of a vector that are kept
+PREFIX = 48  # nearest pivots of a vector that are kept
 SHARD_ROWS = 4096
 QUERY_ROWS = 512
 LEAST = 512  # distinct vectors of a shard that are ranked again, or
