@@ -5,6 +5,7 @@ corpus: a term that is hardly ever met without one entity nearby carries almost
 about it, and is removed or generalised wherever it stands, also where the entity itself doesn't.
 """
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.columns import arrow_schema, per_text, slices, span_text
@@ -31,7 +32,7 @@ NAME_REACH = 320  # looked at first to the left of an @; farther only if all of
 
 REACH = 6  # words on either side of a mention
 MIN_CONTEXTS = 4  # different surroundings in which term and entity must meet
-MIN_SHARE = 0.8  # of the documents with the term that have the entity near it
+MIN_SHARE = 0.8  # of the distinct texts with the term that have the entity near it
 MIN_BITS = 3.0  # pointwise mutual information of term and entity
 LIMIT = 200_000  # terms that a task holds; more are joined
 
@@ -104,24 +105,66 @@ def _long(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
-def mentions(docs: DataFrame, text: str) -> DataFrame:
-    """``entity, term, context``: a term near a mention, and a hash of the mention's surroundings."""
-    schema = "entity string, term string, context long"
-    target = arrow_schema(docs, schema)
+def copies_of(docs: DataFrame, text: str, limit: int) -> tuple[DataFrame, dict[bytes, int]]:
+    """``text, n, copies`` and a dictionary: how many rows of the corpus have a row's text.
+
+    A row stands for ``n`` rows, so that it is ``n / copies`` of a distinct text. Up to ``limit``
+    texts with copies travel to the tasks by their digests, which then give ``copies`` where it is
+    null; with more of them equal texts are collapsed to a row.
+    """
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    counted = docs.groupBy(F.unhex(F.sha2(value, 256)).alias("digest")).agg(F.count("*").alias("n"))
+    repeated = materialize(counted.filter("n > 1"), "copies")
+    rows = bounded(repeated, ["digest", "n"], limit)
+    if rows is not None:
+        each = docs.select(
+            value.alias("text"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("copies")
+        )
+        return each, {bytes(r.digest): r.n for r in rows}
+    once = docs.groupBy(value.alias("text")).agg(F.count("*").alias("n"))
+    return materialize(once.withColumn("copies", F.col("n")), "distinct-texts"), {}
+
+
+def counted_texts(batch: pa.RecordBatch, known: dict[bytes, int]) -> Iterator[tuple[str, int, int]]:
+    """Text, rows and copies of each row of :func:`copies_of`."""
+    for piece in slices(batch, 0):
+        for value, n, copies in zip(*[c.to_pylist() for c in piece.columns], strict=True):
+            if copies is None:
+                copies = known.get(hashlib.sha256(value.encode()).digest(), 1) if known else 1
+            yield value, n, copies
+
+
+def mentions(texts: DataFrame, known: dict[bytes, int]) -> DataFrame:
+    """``entity, term, context, n_rows, n_texts``: a term near a mention, and a hash of the mention's
+    surroundings, with the rows and distinct texts in which the two meet.
+
+    A text that has them in several surroundings counts for the first of these. Rows without term
+    count all rows and texts with the entity.
+    """
+    schema = "entity string, term string, context long, copies long, n long"
+    target = arrow_schema(texts, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 0):
-                rows = set()
-                for value in piece.column(0).to_pylist():
-                    spans = base_spans(value or "")
-                    for entity, terms, context in surroundings(value or "", spans):
-                        rows |= {(entity, t, context) for t in terms}
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(target.names, r, strict=True)) for r in rows], schema=target
-                )
-
-    return docs.select(f"`{text}`").mapInArrow(run, schema)
+            rows: Counter = Counter()
+            for value, n, copies in counted_texts(batch, known):
+                met = set()
+                for entity, terms, context in surroundings(value, base_spans(value)):
+                    for term in (None, *terms):
+                        place = (entity, term, 0 if term is None else context, copies)
+                        rows[place] += 0 if (entity, term) in met else n
+                        met.add((entity, term))
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(target.names, (*r, n), strict=True)) for r, n in rows.items()], schema=target
+            )
+
+    found = texts.mapInArrow(run, schema).groupBy("entity", "term", "context", "copies")
+    return (
+        found.agg(F.sum("n").alias("n_rows"))
+        .withColumn("n_texts", F.expr("n_rows div copies"))
+        .groupBy("entity", "term", "context")
+        .agg(F.sum("n_rows").alias("n_rows"), F.sum("n_texts").alias("n_texts"))
+    )
 
 
 def bounded(terms: DataFrame, columns: list[str], limit: int) -> list | None:
@@ -130,36 +173,44 @@ def bounded(terms: DataFrame, columns: list[str], limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-def term_counts(docs: DataFrame, text: str, terms: DataFrame, limit: int) -> DataFrame:
-    """``term, n_docs``: in how many rows of the corpus each of the given terms stands.
+def term_counts(texts: DataFrame, known: dict[bytes, int], terms: DataFrame, limit: int) -> DataFrame:
+    """``term, term_rows, term_texts``: rows and distinct texts of the corpus with each given term.
 
     Up to ``limit`` terms travel to the tasks; more are joined to the words of the corpus.
     """
     rows = bounded(terms, ["term"], limit)
     wanted = None if rows is None else {r.term for r in rows}
-    schema = "term string, n long"
-    target = arrow_schema(docs, schema)
+    schema = "term string, copies long, n long"
+    target = arrow_schema(texts, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[tuple[int, int], Counter] = {}  # of texts, by copies and rows of each
 
         def out() -> pa.RecordBatch:
-            arrays = [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())]
+            found = [(t, c, k * n) for (c, n), own in counts.items() for t, k in own.items()]
+            columns = list(zip(*found, strict=True)) or [[], [], []]
+            arrays = [pa.array(v, f.type) for v, f in zip(columns, target, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, schema=target)
 
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                found = document_terms(value or "")
-                counts.update(found if wanted is None else found & wanted)
-                if len(counts) > 400_000:
+            for value, n, copies in counted_texts(batch, known):
+                found = document_terms(value)
+                own = counts.setdefault((copies, n), Counter())
+                own.update(found if wanted is None else found & wanted)
+                if sum(map(len, counts.values())) > 400_000:
                     yield out()
                     counts.clear()
         yield out()
 
-    words = docs.select(f"`{text}`").mapInArrow(run, schema)
+    words = texts.mapInArrow(run, schema)
     if wanted is None:
         words = words.join(terms, "term", "left_semi")
-    return words.groupBy("term").agg(F.sum("n").alias("n_docs"))
+    return (
+        words.groupBy("term", "copies")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("term")
+        .agg(F.sum("n").alias("term_rows"), F.sum(F.expr("n div copies")).alias("term_texts"))
+    )
 
 
 def document_terms(text: str) -> set[str]:
@@ -169,23 +220,37 @@ def document_terms(text: str) -> set[str]:
 def revealing_terms(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """Terms beyond the disclosure thresholds: ``term, entity, share, bits, action``.
 
-    ``share`` is how much of the term's documents lie beside the entity, ``bits`` the pointwise
-    mutual information in the corpus. Equal surroundings, as copies have, count once as evidence.
-    A term of one entity is removed, one that points to several is generalised.
+    ``share`` is how much of the term's distinct texts have the entity near it, so copies of a text,
+    whatever their number, count once on either side. Equal surroundings count once as evidence.
+    ``bits`` is the pointwise mutual information of term and entity, counted in distinct texts or in
+    rows, whichever says more: copies of revealing texts make it small in rows, and copies of other
+    texts in distinct texts. A term of one entity is removed, one that points to several generalised.
     """
-    near = materialize(mentions(docs, text).distinct(), "mentions")
-    joint = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    joint = materialize(joint.filter(F.col("n_both") >= MIN_CONTEXTS), "joint")
-    n_entity = near.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    n_term = term_counts(docs, text, joint.select("term").distinct(), limit)
-    n_all = F.lit(docs.count())
+    texts, known = copies_of(docs, text, limit)
+    near = materialize(mentions(texts, known), "mentions")
+    both = [F.sum("n_rows").alias("both_rows"), F.sum("n_texts").alias("both_texts")]
+    joint = near.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("met"), *both)
+    joint = materialize(joint.filter(F.col("met") >= MIN_CONTEXTS), "joint")
+    n_entity = near.filter("term is null").select(
+        "entity", F.col("n_rows").alias("entity_rows"), F.col("n_texts").alias("entity_texts")
+    )
+    n_term = term_counts(texts, known, joint.select("term").distinct(), limit)
+    n_rows = docs.count()
+    if known:
+        n_texts = n_rows - sum(known.values()) + len(known)
+    else:
+        n_texts = texts.count()  # without copies a row each, else collapsed
+    share = F.col("both_texts") / F.col("term_texts")
+
+    def bits(unit: str, n_all: int) -> Column:
+        alone = F.col(f"term_{unit}") * F.col(f"entity_{unit}")
+        return F.log2(F.col(f"both_{unit}") * F.lit(float(n_all)) / alone)
+
     return (
         joint.join(n_entity, "entity")
         .join(n_term, "term")
-        .withColumn("share", F.least(F.col("n_both") / F.col("n_docs"), F.lit(1.0)))
-        .withColumn(
-            "bits", F.log2(F.col("n_both") * n_all / (F.col("n_docs") * F.col("n_entity")))
-        )
+        .withColumn("share", F.least(share, F.lit(1.0)))
+        .withColumn("bits", F.greatest(bits("texts", n_texts), bits("rows", n_rows)))
         .filter((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS))
         .groupBy("term")
         .agg(

@@ -70,5 +70,17 @@ def test_copies_are_no_evidence(make_docs):
     assert pii.revealing_terms(make_docs([(i, text) for i in range(30)])).count() == 0
 
 
+def test_copies_hide_no_term(make_docs):
+    rows = corpus()
+    rows += [(2000 + i, f"other{i} words{i} stand{i} here{i}") for i in range(150)]
+    want = None
+    for copies in (0, 1000):
+        docs = make_docs(rows + [(5000 + i, rows[0][1]) for i in range(copies)])
+        for limit in (pii.LIMIT, 0):  # digests of copies held by the tasks, or texts collapsed
+            terms = [tuple(r) for r in pii.revealing_terms(docs, limit=limit).drop("bits").collect()]
+            want = want or terms
+            assert terms == want == [("zorblax", "email:zed@corp.example", 12 / 13, "remove")]
+
+
 def test_empty(make_docs):
     assert pii.find(make_docs([])).count() == 0
