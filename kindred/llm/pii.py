@@ -8,8 +8,11 @@ about it, and is removed or generalised wherever it stands, also where the entit
 import hashlib
 import json
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import xxhash
@@ -91,14 +94,45 @@ def entity_key(text: str, span: tuple[str, int, int]) -> str:
 def surroundings(
     text: str, spans: list[tuple[str, int, int]]
 ) -> Iterator[tuple[str, list[str], int]]:
-    """Each mention's entity, the terms within ``REACH`` words of it, and a hash of all these words."""
+    """Each mention's entity, the terms within ``REACH`` words of it, and a hash of all these words.
+
+    These are ``REACH`` whole words on either side, whatever their lengths, and what is glued to the
+    mention itself, up to the next mention.
+    """
+    if not spans:
+        return
+    starts, ends = array("q"), array("q")
+    for m in WORD.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+
+    @cache
+    def word(i: int) -> tuple[str, int]:
+        term = term_of(text[starts[i] : ends[i]])
+        return term, _long(term.encode())
+
+    def glued(a: int, b: int) -> list[tuple[str, int]]:
+        term = term_of(text[a:b])
+        return [(term, _long(term.encode()))] if a < b else []
+
+    over = sorted(e for _, _, e in spans)
+    begun = sorted(s for _, s, _ in spans)
     for span in spans:
-        left = WORD.findall(text, max(0, span[1] - 40 * REACH), span[1])[-REACH:]
-        right = WORD.findall(text, span[2], span[2] + 40 * REACH)[:REACH]
-        terms = [term_of(w) for w in left + right]
+        _, a, b = span
+        i, j = bisect_left(starts, a), bisect_left(starts, b)
+        left, right = [], []
+        if i and ends[i - 1] > a:  # begins before the mention and runs into it
+            i -= 1
+            before = bisect_right(over, a)
+            left = glued(max(starts[i], over[before - 1] if before else 0), a)
+        if j and ends[j - 1] > b:
+            after = bisect_left(begun, b)
+            right = glued(b, min(ends[j - 1], begun[after] if after < len(begun) else len(text)))
+        near = [word(n) for n in range(max(0, i - REACH), i)] + left + right
+        near += [word(n) for n in range(j, min(len(starts), j + REACH))]
         # words that hold digits or @ are personal data or parts of it
-        kept = [t for t in terms if len(t) > 2 and not any(c.isdigit() or c in "@+" for c in t)]
-        yield entity_key(text, span), kept, _long("\n".join(terms).encode())
+        kept = [t for t, _ in near if len(t) > 2 and not any(c.isdigit() or c in "@+" for c in t)]
+        yield entity_key(text, span), kept, _long(repr([h for _, h in near]).encode())
 
 
 def _long(data: bytes) -> int:

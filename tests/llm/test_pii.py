@@ -65,6 +65,15 @@ def test_terms_that_reveal(make_docs):
         assert by[None].n_ip == 3000
 
 
+def test_words_near_are_whole():
+    blob = "x" * 5000
+    text = f"far Quibble, {blob} b c d e (zed@corp.example); f {blob} g h Nearby i end"
+    ((entity, terms, _),) = pii.surroundings(text, pii.base_spans(text))
+    assert entity == "email:zed@corp.example" and terms == ["quibble", blob, blob, "nearby"]
+    text = "Quibble: " + "a@b.example," * 20_000 + blob
+    assert len(list(pii.surroundings(text, pii.base_spans(text)))) == 20_000
+
+
 def test_copies_are_no_evidence(make_docs):
     text = "one two three Quibble q@q.example four five six"
     assert pii.revealing_terms(make_docs([(i, text) for i in range(30)])).count() == 0
