@@ -2,7 +2,8 @@
 
 Every vector is represented by its nearest pivots in order. A shard of the rows posts each of its
 vectors in the inverted files of these pivots; a query reads the files of its own pivots, adds up the
-footrule distance of the two orders, and the nearest candidates are ranked again by inner product.
+footrule distance of the two orders, and the candidates that, with their lengths, are likeliest to
+be near are ranked again by inner product.
 """
 
 import numpy as np
@@ -21,6 +22,7 @@ QUERY_ROWS = 512
 LEAST = 512  # distinct vectors of a shard that are ranked again, or
 SHARE = 4  # one in so many, if that is more, and
 CROWD = 0.5  # all that have this share of the credit of an equal order
+PAIRS = 64, 256  # queries and vectors on whose pairs cosines are fitted to credit
 
 Pivots = dict[int, np.ndarray]
 
@@ -103,6 +105,47 @@ def distinct_vectors(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndar
     return order[first], copies
 
 
+def guessed_cosines(
+    credit: np.ndarray, x: np.ndarray, lengths: np.ndarray, q: np.ndarray, asked: np.ndarray
+) -> np.ndarray:
+    """Each query's and vector's cosine as a rising line over their credit, fitted on some pairs."""
+    i = np.arange(0, len(q), -(-len(q) // PAIRS[0]))
+    j = np.arange(0, len(x), -(-len(x) // PAIRS[1]))
+    cosines = (q[i] / asked[i, None]) @ (x[j] / lengths[j, None]).T
+    some = credit[np.ix_(i, j)].astype(float)
+    spread = some - some.mean()
+    rise = (spread * cosines).sum() / max((spread * spread).sum(), 1.0)
+    rise = max(rise, 1e-9)
+    return cosines.mean() + rise * (credit - some.mean())
+
+
+def candidates(
+    credit: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, wanted: int, crowd: float
+) -> list[np.ndarray]:
+    """For each query the vectors whose inner products are computed.
+
+    Orders know directions only, and a long vector needs less of the query's direction than a short
+    one. So the products of half of the ``wanted`` vectors, those of the greatest guesses, give a
+    score to be reached; then vectors are taken by how far their guessed cosine is above the one
+    that, at their length, reaches it. A crowd with nearly the query's own order is taken as a whole.
+    """
+    lengths = np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-150)
+    asked = np.maximum(np.sqrt((q * q).sum(axis=1)), 1e-150)
+    guess = guessed_cosines(credit, x, lengths, q, asked)
+    half = min(len(x), max(k + 1, wanted // 2))
+    out = []
+    for i, v in enumerate(q):
+        first = np.argpartition(-guess[i] * lengths, half - 1)[:half]
+        scores = x[first] @ v
+        reach = np.partition(scores, max(0, half - k - 1))[max(0, half - k - 1)] / asked[i]
+        above = guess[i] - reach / lengths
+        last = np.partition(above, len(x) - wanted)[len(x) - wanted]
+        taken = (above >= last) | (credit[i] >= crowd)
+        taken[first] = True
+        out.append(np.flatnonzero(taken))
+    return out
+
+
 def search_shard(ids, x, query_ids, q, pivots: np.ndarray, k: int, prefix: int):
     """Each query's ``k`` best of the shard's candidates: query id, id, inner product."""
     keep, copies = distinct_vectors(ids, x, k + 1)
@@ -112,23 +155,23 @@ def search_shard(ids, x, query_ids, q, pivots: np.ndarray, k: int, prefix: int):
         return
     wanted = min(n, max(LEAST, -(-n // SHARE)))
     prefix = min(prefix, len(pivots))
-    posted, asked = orders(x, pivots, prefix), orders(q, pivots, prefix)
-    rough = q @ x.T
     if wanted < n:
+        posted, asked = orders(x, pivots, prefix), orders(q, pivots, prefix)
         credit = footrule_credit(posted, asked, len(pivots))
-        last = np.partition(credit, n - wanted, axis=1)[:, n - wanted]
-        # a crowd of vectors with nearly the query's own order is ranked again as a whole
-        crowd = CROWD * prefix * (prefix + 1) / 2
-        rough[credit < np.minimum(last, crowd)[:, None]] = -np.inf
+        chosen = candidates(credit, x, q, k, wanted, CROWD * prefix * (prefix + 1) / 2)
+    else:
+        chosen = [np.arange(n)] * len(q)
     # copies only add ids to a vector, so the k + 1 best vectors and their ties are enough; the
     # margin covers the order of summing, in which the rough scores differ from the exact ones
-    place = max(0, n - k - 1)
-    least = np.partition(rough, place, axis=1)[:, place]
     margin = 1e-12 * np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1).max())
     for i, own in enumerate(query_ids.tolist()):
-        best = np.flatnonzero((rough[i] >= least[i] - margin[i]) & (rough[i] > -np.inf))
-        scores = (x[best] * q[i]).sum(axis=1).tolist()
-        found = [(-s, c) for s, j in zip(scores, best.tolist(), strict=True) for c in copies[j] if c != own]
+        near = x[chosen[i]]
+        rough = near @ q[i]
+        place = max(0, len(near) - k - 1)
+        best = np.flatnonzero(rough >= np.partition(rough, place)[place] - margin[i])
+        scores = (near[best] * q[i]).sum(axis=1).tolist()
+        rows = chosen[i][best].tolist()
+        found = [(-s, c) for s, j in zip(scores, rows, strict=True) for c in copies[j] if c != own]
         for score, c in sorted(found)[:k]:
             yield own, c, -score
 

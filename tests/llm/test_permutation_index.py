@@ -59,3 +59,21 @@ def test_recall_and_copies(spark, monkeypatch):
     assert len(pairs(got) & pairs(want)) >= 0.9 * len(want)
     copies = [q for q, _ in queries if q >= 3000]
     assert {g for g in got if g[0] in copies} == {w for w in want if w[0] in copies}
+
+
+def test_recall_of_unequal_lengths():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4096, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = []
+    for v in x:
+        if not pivots or len(pivots) < pi.PIVOTS and (np.stack(pivots) @ v).max() < pi.APART:
+            pivots.append(v)
+    for spread in (0.0, 0.5, 1.0):
+        rows = x * np.exp(spread * rng.normal(size=(4096, 1)))
+        scores = rows[:64] @ rows.T
+        scores[np.arange(64), np.arange(64)] = -np.inf
+        want = {(i, j) for i, best in enumerate(np.argsort(-scores, axis=1)[:, :20].tolist()) for j in best}
+        ids = np.arange(4096)
+        found = pi.search_shard(ids, rows, ids[:64], rows[:64], np.stack(pivots), 20, pi.PREFIX)
+        assert len({(i, j) for i, j, _ in found} & want) >= 0.97 * len(want)
