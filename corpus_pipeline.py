@@ -9,7 +9,7 @@ from kindred.session import scratch_path
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base limits or the weighted rules reject go."""
-    return quality_rules.keep_good(docs)
+    return quality_rules.keep_good(docs, null_keys=True)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

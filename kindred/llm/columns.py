@@ -5,7 +5,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BATCH_BYTES = 8 << 20  # text handled at once inside a task
@@ -36,6 +37,18 @@ def per_text(
     return picked.mapInArrow(run, schema)
 
 
+def text_hash(text: str) -> Column:
+    """A hash that tells apart rows of one key; null is an empty text."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``docs`` whose key (null too) and text are those of ``key, text_hash`` in ``kept``."""
+    wanted = kept.select(F.col(f"`{key}`").alias("_kept_key"), F.col("text_hash").alias("_kept_hash"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_kept_key")) & (text_hash(text) == F.col("_kept_hash"))
+    return docs.join(wanted, same, "left_semi")
+
+
 def arrow_schema(df: DataFrame, schema: StructType | str) -> pa.Schema:
     """The Arrow form of a Spark schema, with the session's time zone left out of it."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -6,13 +6,14 @@ probabilities, weighted by line length, put through a monotone calibration.
 """
 
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.columns import per_text
+from kindred.llm.columns import per_text, rows_of, text_hash
 
 SAMPLE_DOCS = 4000  # labelled rows that the fit may hold; chosen by hash
 SAMPLE_CHARS = 40_000  # the fit takes rows of no more characters; scoring takes all texts whole
@@ -276,23 +277,29 @@ def train(
     return fit([(r._text or "").encode() for r in found], [r._quality for r in found])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(
+    docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", also: Sequence[str] = ()
+) -> DataFrame:
     """``key`` and ``score`` (0 to 1) of every row from its whole text.
 
     Null and empty texts, and texts of white space, score 0. Repeated rows score each, null keys
-    stay; an empty table gives no rows; other columns are left out.
+    stay; an empty table gives no rows; other columns than those in ``also`` are left out.
     """
-    kind = docs.select(f"`{key}`").schema[0].dataType.simpleString()
+    keys = [key, *also]
+    own = ", ".join(f"`{k}` {docs.select(f'`{k}`').schema[0].dataType.simpleString()}" for k in keys)
     shapes: dict[bytes, int] = {}
     return per_text(
-        docs, text, [key], f"`{key}` {kind}, score double", lambda data: (score_text(data, model, shapes),)
+        docs, text, keys, f"{own}, score double", lambda data: (score_text(data, model, shapes),)
     )
 
 
 def keep_good(
     docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.3
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``least`` or more. Rows with null keys go."""
-    kept = score(docs, train(docs, labels, text, key), text, key).filter(F.col("score") >= least)
-    kept = kept.select(F.col(f"`{key}`").alias("_kept_key"))
-    return docs.join(kept, F.col(key) == F.col("_kept_key"), "left_semi")
+    """The rows of ``docs``, all columns, that score ``least`` or more.
+
+    Rows of one key with other texts, and rows with null keys, are judged each by its own text.
+    """
+    marked = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"), text_hash(text).alias("text_hash"))
+    scored = score(marked, train(docs, labels, text, key), text, key, ["text_hash"])
+    return rows_of(docs, scored.filter(F.col("score") >= least), text, key)

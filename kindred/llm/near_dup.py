@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.columns import arrow_schema, per_text, slices
+from kindred.llm.columns import arrow_schema, per_text, rows_of, slices, text_hash
 from kindred.llm.components import connected
 from kindred.session import materialize
 
@@ -67,15 +67,11 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
         return len(values), xxhash.xxh3_128_digest(values.tobytes()), values[:SKETCH].tolist()
 
     kind = docs.select(f"`{key}`").schema[0].dataType.simpleString()
-    marked = docs.select(F.col(f"`{key}`").alias("key"), _hash(text).alias("text_hash"), F.col(f"`{text}`").alias("t"))
+    marked = docs.select(F.col(f"`{key}`").alias("key"), text_hash(text).alias("text_hash"), F.col(f"`{text}`").alias("t"))
     schema = f"key {kind}, text_hash long, n long, vertex binary, sketch array<long>"
     return per_text(marked, "t", ["key", "text_hash"], schema, one)
 
 
-def _hash(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-
-
 def postings(vertices: DataFrame) -> DataFrame:
     """``vertex, n, rare, frequent``: the values of its sketch by which each vertex is listed.
 
@@ -136,7 +132,7 @@ def estimated(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
     """``vertex, n, shingles``: the full sets of the wanted vertices, from one document each."""
-    kept = docs.select(F.col(f"`{key}`").alias("_k"), _hash(text).alias("_h"), F.col(f"`{text}`").alias("t"))
+    kept = docs.select(F.col(f"`{key}`").alias("_k"), text_hash(text).alias("_h"), F.col(f"`{text}`").alias("t"))
     met = kept.join(wanted, F.col("_k").eqNullSafe(F.col("key")) & (F.col("_h") == F.col("text_hash")))
     schema = "vertex binary, n long, shingles binary"
 
@@ -297,6 +293,16 @@ def links_of(docs: DataFrame, made: DataFrame, text: str, key: str) -> DataFrame
     return links.unionByName(rest_links(known, sets)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def named_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``key, text_hash, n, root`` of each row; the root names its component (null: no shingles)."""
+    made = materialize(sketches(docs, text, key), "sketches")
+    roots = connected(links_of(docs, made, text, key))
+    named = made.select("key", "text_hash", "n", "vertex").join(
+        roots.select(F.col("v").alias("vertex"), "root"), "vertex", "left"
+    ).select("key", "text_hash", "n", F.coalesce("root", "vertex").alias("root"))
+    return materialize(named, "named")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, n_shingles, component_id, kept``, one row per row of ``docs``.
 
@@ -306,12 +312,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Repeated rows share a component; rows of one key with other texts are rows of their own. An
     empty table gives no rows; other columns are left out.
     """
-    made = materialize(sketches(docs, text, key), "sketches")
-    roots = connected(links_of(docs, made, text, key))
-    named = made.select("key", "n", "vertex").join(
-        roots.select(F.col("v").alias("vertex"), "root"), "vertex", "left"
-    ).select("key", "n", F.coalesce("root", "vertex").alias("root"))
-    named = materialize(named, "named")
+    named = named_rows(docs, text, key)
     least = named.filter("root is not null").groupBy("root").agg(F.min("key").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("least"))
     return named.join(least, "root", "left").select(
@@ -323,6 +324,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each component, all columns; keys must be unique, rows without key go."""
-    kept = near_duplicates(docs, text, key).filter("kept").select(F.col(key).alias("_kept_key"))
-    return docs.join(kept, F.col(key) == F.col("_kept_key"), "left_semi")
+    """One row of each component, all columns: of the least key, then the least text hash.
+
+    Of repeated rows one stays. Null keys come last. Texts without shingles are linked to nothing:
+    each different row of them stays.
+    """
+    alone = F.col("root").isNull()
+    rows = named_rows(docs, text, key).groupBy("root", "key", "text_hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "text_hash", "n")
+    linked = rows.filter(~alone).groupBy("root").agg(F.min(order).alias("row")).select("row.*").drop("last")
+    kept = linked.unionByName(rows.filter(alone).drop("root")).withColumnRenamed("key", key)
+    kept = materialize(kept, "kept")
+    out = rows_of(docs, kept.filter("n = 1"), text, key)
+    repeated = kept.filter("n > 1")
+    if repeated.isEmpty():
+        return out
+    more = rows_of(docs, repeated, text, key).withColumn("_text_hash", text_hash(text))
+    return out.unionByName(more.dropDuplicates([key, "_text_hash"]).drop("_text_hash"))

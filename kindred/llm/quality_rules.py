@@ -5,11 +5,13 @@ expectation-maximisation estimates from the pattern counts how far every rule ca
 document is kept by its posterior probability of being good instead of by all rules passing.
 """
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.columns import per_text
+from kindred.llm.columns import per_text, rows_of, text_hash
 from kindred.session import materialize
 
 WINDOW = 8  # words
@@ -72,11 +74,17 @@ def text_features(data: bytes) -> tuple[int, ...]:
     )
 
 
-def features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The counts that the rules look at, one row per row of ``docs``; a null text counts as empty."""
-    kind = docs.select(f"`{key}`").schema[0].dataType.simpleString()
-    schema = f"`{key}` {kind}, " + ", ".join(f"{f} long" for f in FEATURES)
-    return per_text(docs, text, [key], schema, text_features)
+def features(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", also: Sequence[str] = ()
+) -> DataFrame:
+    """The counts that the rules look at, one row per row of ``docs``; a null text counts as empty.
+
+    Columns in ``also`` are handed on.
+    """
+    keys = [key, *also]
+    own = ", ".join(f"`{k}` {docs.select(f'`{k}`').schema[0].dataType.simpleString()}" for k in keys)
+    schema = f"{own}, " + ", ".join(f"{f} long" for f in FEATURES)
+    return per_text(docs, text, keys, schema, text_features)
 
 
 def base_failed() -> Column:
@@ -157,7 +165,11 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
     a null key stays null. An empty table gives no rows. Other columns of ``docs`` are not looked
     at, whatever their names. At most 3^10 vote patterns with their counts reach the driver.
     """
-    counted = materialize(features(docs, text, key), "quality-features")
+    return _judged(docs, text, key, least, [])
+
+
+def _judged(docs: DataFrame, text: str, key: str, least: float, also: list[str]) -> DataFrame:
+    counted = materialize(features(docs, text, key, also), "quality-features")
     votes = F.concat(*rules().values()).alias("votes")
     patterns = counted.groupBy(votes).count().collect()  # 3^10 rows at most
     _, _, posterior = fit_rules({r.votes: r["count"] for r in patterns})
@@ -172,10 +184,15 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
     )
 
 
-def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_good(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", null_keys: bool = False
+) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns.
 
-    Keys must be unique; a row with a null key is judged by no other row's and goes.
+    Rows of one key with other texts are judged each. Rows with null keys go, unless ``null_keys``.
     """
-    kept = judge(docs, text, key).filter("kept").select(F.col(key).alias("_kept_key"))
-    return docs.join(kept, F.col(key) == F.col("_kept_key"), "left_semi")
+    marked = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"), text_hash(text).alias("text_hash"))
+    kept = _judged(marked, text, key, 0.5, ["text_hash"]).filter("kept")
+    if not null_keys:
+        kept = kept.filter(F.col(f"`{key}`").isNotNull())
+    return rows_of(docs, kept, text, key)

@@ -92,6 +92,14 @@ def test_connected(spark):
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_keep_one_of_odd_rows(make_docs):
+    text, other, third = "one two three four five six", "seven eight nine ten eleven", "a b c d e f"
+    rows = [(2, text), (2, text), (7, text), (2, other), (1, other), (None, third), (None, third),
+            (None, text), (5, None), (5, None)]
+    kept = sorted(((r.doc_id, r.text) for r in near_dup.keep_one(make_docs(rows)).collect()), key=str)
+    assert kept == [(1, other), (2, text), (5, None), (None, third)]
+
+
 def test_keep_one(make_docs):
     docs = make_docs([(5, "one two three four five six"), (2, "one two three four five SIX"), (9, None), (4, "other")])
     kept = near_dup.keep_one(docs)

@@ -67,5 +67,12 @@ def test_judge(make_docs):
     assert {r.doc_id for r in keep_good(docs).collect()} == set(range(30))
 
 
+def test_rows_of_one_key(make_docs):
+    good = [PROSE.replace("worda", f"x{i}") for i in range(30)]
+    docs = make_docs([*enumerate(good), (3, "short"), (None, PROSE), (None, "short")])
+    kept = [(r.doc_id, r.text) for r in keep_good(docs, null_keys=True).collect()]
+    assert Counter(kept) == Counter([*enumerate(good), (None, PROSE)])
+
+
 def test_empty(make_docs):
     assert judge(make_docs([])).count() == 0
