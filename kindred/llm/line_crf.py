@@ -5,6 +5,7 @@ prefers neighbouring lines to agree. A document's score is the mean of its lines
 probabilities, weighted by line length, put through a monotone calibration.
 """
 
+import re
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -26,13 +27,13 @@ SHAPES = bytes.maketrans(
 )
 WORDY = bytes(range(0x80, 0x100))  # bytes of letters outside ASCII count as one small letter
 SHAPES = SHAPES.translate(bytes.maketrans(WORDY, b"a" * len(WORDY)))
+RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 NUMERIC = 12
 
 
 def shape(word: bytes) -> bytes:
     """The word's kinds of characters, runs of one kind shortened to one."""
-    kinds = word[:40].translate(SHAPES)
-    return bytes(c for c, before in zip(kinds, b"\0" + kinds, strict=False) if c != before)
+    return RUNS.sub(rb"\1", word.translate(SHAPES))
 
 
 def lines_of(data: bytes) -> list[list[bytes]]:
