@@ -4,7 +4,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, fixity, line_crf, near_dup, packing, permutation_index, pii, quality_rules, secrets
+from kindred.llm import (
+    bpe,
+    chat,
+    fixity,
+    line_crf,
+    merkle,
+    near_dup,
+    packing,
+    permutation_index,
+    pii,
+    quality_rules,
+    secrets,
+)
 from kindred.llm.registry import query, table
 
 
@@ -173,3 +185,85 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(table(spark, folder, "documents"), path)
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text of ASCII characters."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)"
+    # fixed value: the reversed polynomial
+    byte = (
+        "list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+        "lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    )
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {codes}), lambda r, b: {byte}), 4294967295)"
+
+
+def framed_sql(columns: list[str]) -> str:
+    texts = [f"coalesce(strlen({c}::varchar) || ':' || ({c}::varchar), '-')" for c in columns]
+    return f"sha256({' || '.join(texts)})"
+
+
+# Nodes of one tree a group, lvl by lvl: lvl, idx, digest and n, the nodes of that level.
+TREE_SQL = """
+  select grp, 0 as lvl, idx, digest, count(*) over (partition by grp) as n from {leaves}
+  union all
+  select grp, lvl + 1, idx // 2, sha256(digest || coalesce(other, '')), (n + 1) // 2
+  from (select *, lead(digest) over (partition by grp order by idx) as other from {tree} where n > 1)
+  where idx % 2 = 0"""
+MERKLE_SQL = f"""
+with recursive leaves as (
+  select doc_id, coalesce('=' || lang, '') as grp, digest,
+    case when {crc32_sql('doc_id::varchar')} % 7 = 0 then {framed_sql(
+        ['doc_id', 'source', 'lang', '(n_chars + 1)', 'text'])} end as tampered,
+    row_number() over (partition by coalesce('=' || lang, '') order by doc_id nulls first, digest) - 1
+      as idx
+  from (select *, {framed_sql(['doc_id', 'source', 'lang', 'n_chars', 'text'])} as digest from documents)),
+tree as ({TREE_SQL.format(leaves='leaves', tree='tree')}),
+subroots as (
+  select '' as grp, grp as own, digest, row_number() over (order by grp) - 1 as idx from tree where n = 1),
+top as ({TREE_SQL.format(leaves='subroots', tree='top')}),
+rows as (
+  select l.*, s.digest as subroot, s.idx as place, r.digest as root, row_number() over () as id
+  from leaves l join subroots s on l.grp = s.own cross join (select digest from top where n = 1) r),
+steps as (
+  select id, h.lvl, rows.idx >> h.lvl & 1 as side, t.digest as other
+  from rows join (select distinct grp, lvl from tree where n > 1) h on rows.grp = h.grp
+  left join tree t on t.grp = rows.grp and t.lvl = h.lvl and t.idx = xor(rows.idx >> h.lvl, 1)
+  union all
+  select id, 1000 + h.lvl, place >> h.lvl & 1, t.digest
+  from rows cross join (select distinct lvl from top where n > 1) h
+  left join top t on t.lvl = h.lvl and t.idx = xor(place >> h.lvl, 1)),
+path as (
+  select *, row_number() over (partition by id order by lvl) as step, count(*) over (partition by id) as n
+  from steps),
+folded as (
+  select id, 0 as step, coalesce(tampered, digest) as h from rows
+  union all
+  select id, f.step + 1, sha256(case when other is null then h when side = 1 then other || h else h || other end)
+  from folded f join path p using (id) where p.step = f.step + 1),
+ends as (select id, arg_max(h, step) as folded_root from folded group by id),
+proofs as (select id, string_agg(other, '' order by lvl) as siblings from path group by id)
+select doc_id, digest as leaf, subroot, root, sha256(coalesce(siblings, '')) as proof_sha256,
+  folded_root, folded_root = root as verified
+from rows join ends using (id) left join proofs using (id)"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs of all rows, checked against rows of which some were tampered with."""
+    docs = table(spark, folder, "documents")
+    changed = {"n_chars": F.col("n_chars") + 1}
+    tampered = F.when(
+        F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
+        merkle.framed_digest([changed.get(c, F.col(c)) for c in merkle.FIELDS]),
+    )
+    proofs = merkle.prove(docs, carry={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
