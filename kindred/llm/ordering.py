@@ -41,14 +41,15 @@ def in_order(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: s
     )
 
 
-def split_join(rows: DataFrame, sized: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with one row per ``key`` whose ``size`` is the key's rows in ``rows``.
+def split_join(rows: DataFrame, sized: DataFrame, keys: Sequence[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row for the values of ``keys``; ``size`` is their rows in ``rows``.
 
-    Keys with more than ``total / HEAVY`` rows, at most ``HEAVY`` of them, are broadcast, so the rows
-    of such a key stay where they are; the others are shuffled.
+    Those with more than ``total / HEAVY`` rows, at most ``HEAVY`` of them, are broadcast, so the rows
+    of such a value stay where they are; the others are shuffled.
     """
     hot = F.col(size) > total / HEAVY
     heavy, light = sized.where(hot), sized.where(~hot)
-    return rows.join(F.broadcast(heavy), key).unionByName(
-        rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    keys = list(keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(
+        rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
     )

@@ -9,6 +9,7 @@ from kindred.llm import (
     chat,
     fixity,
     line_crf,
+    line_dedup,
     merkle,
     near_dup,
     packing,
@@ -267,3 +268,31 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
         folded.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINES_SQL = f"""
+with docs as (
+  select row_number() over () as id, doc_id, string_split(coalesce(text, ''), chr(10)) as lines
+  from documents),
+lines as (
+  select id, doc_id, generate_subscripts(lines, 1) as place, unnest(lines) as line from docs),
+keyed as (
+  select *, translate(trim(line, {BLANKS_SQL}), '{line_dedup.UPPER}', '{line_dedup.LOWER}') as key
+  from lines),
+frequent as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key
+  having count(distinct coalesce(doc_id::varchar, '')) >= 5),
+marked as (
+  select k.*, keeper is not null and doc_id is distinct from keeper as dropped
+  from keyed k left join frequent using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not dropped), '')) as kept_sha256
+from marked group by id, doc_id"""
+
+
+@query("op13_line_dedup", LINES_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.drop_lines(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )

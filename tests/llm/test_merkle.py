@@ -114,5 +114,5 @@ def test_positions(spark):
 def test_hot_keys_are_joined_alike(spark):
     rows = spark.createDataFrame([(1,)] * 500 + [(i,) for i in range(2, 300)] + [(None,)], "k int")
     sized = rows.groupBy("k").agg(F.count("*").alias("n"))
-    out = ordering.split_join(rows, sized, "k", "n", 800).groupBy("k").agg(F.max("n"), F.count("*"))
+    out = ordering.split_join(rows, sized, ["k"], "n", 800).groupBy("k").agg(F.max("n"), F.count("*"))
     assert sorted(tuple(r) for r in out.collect()) == [(1, 500, 500), *[(i, 1, 1) for i in range(2, 300)]]
