@@ -15,6 +15,7 @@ from kindred.llm import (
     packing,
     permutation_index,
     pii,
+    prefix_trie,
     quality_rules,
     secrets,
 )
@@ -296,3 +297,53 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.drop_lines(table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+TRIE_SQL = f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+own as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, left(role, 32),
+    left(text, 32), sha256(strlen(role) || ':' || role || text)) - 1 as pos from said),
+convs as (
+  select conv_id, {crc32_sql('conv_id::varchar')} % 4 as h from (select distinct conv_id from own)),
+turns as (
+  select conv_id, row_number() over (partition by conv_id order by own, pos) as depth, role, text
+  from (
+    select c.conv_id, 0 as own, pos, role, text
+    from convs c join own o on o.conv_id = c.conv_id - c.conv_id % 20 and pos < h
+    union all
+    select conv_id, 1, pos, role, text from own join convs using (conv_id) where pos >= h)),
+members as (
+  select conv_id, depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words,
+    sha256(string_agg(sha256(strlen(role) || ':' || role || text), '') over (
+      partition by conv_id order by depth)) as node from turns
+  union all select conv_id, 0, 0, 'root' from convs),
+hung as (
+  select *, lag(node) over (partition by conv_id order by depth) as parent,
+    depth = max(depth) over (partition by conv_id) as ends from members),
+nodes as (
+  select node, min(conv_id) as conv_id, min(depth) as depth, min(parent) as parent, min(words) as words,
+    count(*) as n_convs, coalesce(string_agg(conv_id, ',' order by conv_id) filter (where ends), '') as ids
+  from hung group by node),
+children as (select parent as node, count(*) as n from nodes where parent is not null group by parent),
+family as (
+  select nodes.*, coalesce(n, 0) as n_children from nodes left join children using (node)),
+subtrees as (
+  select m.node, count(*) filter (where n_children = 0) as n_leaves,
+    sum((n_convs - 1) * u.words) as saved_tokens
+  from family u join members m on m.conv_id = u.conv_id and m.depth <= u.depth group by m.node),
+reps as (select node as parent, conv_id as parent_conv_id from nodes)
+select conv_id, depth, parent_conv_id, n_convs, n_children, t.n_leaves, t.saved_tokens::bigint as saved_tokens,
+  sha256(ids) as ends_sha256
+from family join subtrees t using (node) left join reps using (parent)"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    turns, convs = prefix_trie.branched(
+        prefix_trie.numbered_turns(rows, "conv_id", "turn", "role", "text")
+    )
+    return prefix_trie.trie(turns, convs)
