@@ -14,9 +14,11 @@ from catalog.base import (
 )
 from catalog.products import NUMBERED, TITLE
 from catalog.similarity import (
+    IN_36_HOURS,
     IN_A_WEEK,
     MERGED,
     PUBLISHED,
+    RECENT,
     limited_sql,
     pairs_sql,
     published,
@@ -28,7 +30,7 @@ from kindred.functions.text import words
 from kindred.operators import tables as T
 from kindred.operators.similar import latest_rows
 from kindred.plans import jobs
-from kindred.session import materialize
+from kindred.session import materialize, scratch_path
 from kindred.sources import kv
 
 MEANS = ", ".join(f"avg(v[{i + 1}])" for i in range(HASH_DIMS))
@@ -64,13 +66,8 @@ SEARCHES = ",\n".join(
 )
 
 
-def search_rows(spark, folder):
-    latest = latest_rows(product_daily(spark, folder), ["area_id", "spu_sn"], ["dt", "sku"])
-    number = F.col("sku").cast("bigint")
-    products = latest.withColumn("row_id", number * 10 + F.col("area_id")).withColumn(
-        "sku", F.when(number % 21 != 7, F.col("sku"))
-    )
-    items = products.select("spu_sn", "sku", "area_id").distinct()
+def image_vectors(spark, folder, items):
+    """The numbered images of items; every eleventh has none."""
     ranked = T.rank_images(
         items.select("spu_sn").distinct(),
         media(spark, folder),
@@ -81,15 +78,27 @@ def search_rows(spark, folder):
         kinds=["PRIMARY"],
         kind="imgtype",
     )
-    images = ranked.where(F.substr("spu_sn", F.lit(2)).cast("bigint") % 11 != 0).select(
+    return ranked.where(F.substr("spu_sn", F.lit(2)).cast("bigint") % 11 != 0).select(
         "spu_sn",
         F.col("img_id").cast("int").alias("n"),
         F.col("img_id").cast("int").alias("image_id"),
         hash_vector(F.col("originalimgurl")).alias("vec"),
     )
-    titles = T.with_title(products)
-    vocabulary = titles.select(F.explode(words(F.col("title"))).alias("word")).distinct()
-    vectors = vocabulary.select("word", hash_vector(F.col("word")).alias("vec"))
+
+
+def title_vectors(products):
+    vocabulary = T.with_title(products).select(F.explode(words(F.col("title"))).alias("word")).distinct()
+    return vocabulary.select("word", hash_vector(F.col("word")).alias("vec"))
+
+
+def search_rows(spark, folder):
+    latest = latest_rows(product_daily(spark, folder), ["area_id", "spu_sn"], ["dt", "sku"])
+    number = F.col("sku").cast("bigint")
+    products = latest.withColumn("row_id", number * 10 + F.col("area_id")).withColumn(
+        "sku", F.when(number % 21 != 7, F.col("sku"))
+    )
+    images = image_vectors(spark, folder, products)
+    vectors = title_vectors(products)
     return jobs.search_rows(
         materialize(products, "products"), images, vectors, dims=HASH_DIMS
     )
@@ -112,3 +121,109 @@ def daily_similar_items(spark, folder):
 )
 def daily_errors(spark, folder):
     return search_rows(spark, folder)[1]
+
+
+# --- recent days -------------------------------------------------------------------------------
+
+TARGET, YESTERDAY = "2024-09-03", "2024-09-02"
+EPOCH, START, STEP = "1995-01-01", "2024-01-01", 10  # ten ship days make one day
+DAY_NUMBER = f"date_diff('day', date '{EPOCH}', cast(dt as date)) // {STEP}"
+# The day folders: some rows lack an area, a category or a sku.
+DAYS = f"""{PRODUCT_DAILY}, {MEDIA}, {NUMBERED}, product_days as (
+  select distinct * replace (strftime(date '{START}' + cast({DAY_NUMBER} as int), '%Y-%m-%d') as dt,
+      case when cast(sku as bigint) % 17 = 3 then null else area_id end as area_id,
+      case when cast(sku as bigint) % 19 = 5 then null else first_level_category_id end
+        as first_level_category_id,
+      case when cast(sku as bigint) % 23 = 7 then null else second_level_category_id end
+        as second_level_category_id,
+      case when cast(sku as bigint) % 21 = 7 then null else sku end as sku),
+    (cast(sku as bigint) * 10 + area_id) * 10000 + {DAY_NUMBER} as row_id
+  from product_daily),
+titled as (
+  select *, {TITLE} as title from product_days
+  where sku is not null and dt >= cast(cast('{TARGET}' as date) - interval 7 day as date)::varchar),
+title_words as (select row_id, unnest({words_sql('title')}) as word from titled),
+text_means as (
+  select row_id, [{MEANS}] as text_vec
+  from (select row_id, {hash_vector_sql('word')} as v from title_words) group by row_id),
+image_means as (
+  select spusn, [{MEANS}] as image_vec
+  from (select spusn, {hash_vector_sql('originalimgurl')} as v from numbered
+        where n < 8 and cast(substr(spusn, 2) as bigint) % 11 <> 0) group by spusn),
+item_vectors as (
+  select row_id, spu_sn, area_id, first_level_category_id as lv1,
+    second_level_category_id as lv2, dt, text_vec, image_vec
+  from titled left join text_means using (row_id) left join image_means on spusn = spu_sn)"""
+RECENT_SEARCHES = ",\n".join(
+    [
+        unit_rows_sql("text_rows", "text_vec"),
+        pairs_sql("text_pairs", "text_rows"),
+        limited_sql("text_top", "text_pairs", RECENT),
+        ranked_sql("text_ranked", "text_top", f"q_lv1 = c_lv1 and s > -0.6 and c_dt = '{TARGET}'", 101),
+    ]
+    + [
+        unit_rows_sql("image_rows", "image_vec"),
+        pairs_sql("image_pairs", "image_rows"),
+        limited_sql("image_top", "image_pairs", RECENT),
+        ranked_sql("image_ranked", "image_top", f"q_lv2 = c_lv2 and s > 0.15 and c_dt = '{TARGET}'", 27),
+    ]
+)
+
+
+def product_days(spark, folder):
+    """The product rows in day folders, and read back from them."""
+    number = F.col("sku").cast("bigint")
+    days = F.floor(F.datediff(F.col("dt").cast("date"), F.lit(EPOCH).cast("date")) / STEP).cast("int")
+    rows = product_daily(spark, folder).withColumns(
+        {
+            "row_id": (number * 10 + F.col("area_id")) * 10000 + days,
+            "dt": F.date_format(F.date_add(F.lit(START).cast("date"), days), "yyyy-MM-dd"),
+        }
+    )
+    rows = rows.distinct()
+    for c, n, rest in (
+        ("area_id", 17, 3), ("first_level_category_id", 19, 5), ("second_level_category_id", 23, 7),
+        ("sku", 21, 7),
+    ):
+        rows = rows.withColumn(c, F.when(number % n != rest, F.col(c)))
+    path = scratch_path(spark, "product-days")
+    rows.repartition("dt").write.partitionBy("dt").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def recent_inputs(spark, folder):
+    """The day folders, and the image and word vectors of the items that both runs read."""
+    products = product_days(spark, folder)
+    wanted = T.scan_recent_days(products, YESTERDAY)
+    images = materialize(image_vectors(spark, folder, wanted), "images")
+    return products, images, materialize(title_vectors(wanted), "words")
+
+
+@query(
+    "recent_similar_items",
+    f"""with {DAYS}, {RECENT_SEARCHES}, {MERGED}
+    select area_id, concat('{TARGET.replace('-', '')}:', spu_sn) as key,
+      array_to_string(neighbours, ',') as value, '{IN_36_HOURS}' as expire_at
+    from merged where len(neighbours) > 0""",
+)
+def recent_similar_items(spark, folder):
+    """Yesterday's run leaves its counts for today's."""
+    state = scratch_path(spark, "recent-state")
+    inputs = recent_inputs(spark, folder)
+    jobs.similar_items_of_days(*inputs, YESTERDAY, dims=HASH_DIMS, state=state)
+    lists, _ = jobs.similar_items_of_days(*inputs, TARGET, dims=HASH_DIMS, state=state)
+    return published(lists, kv.DAY_AND_A_HALF, TARGET)
+
+
+@query(
+    "recent_errors",
+    f"""with {DAYS}
+    select row_id, spu_sn, concat_ws(', ', case when image_vec is null then 'no image' end,
+      case when area_id is null then 'no area_id' end,
+      case when lv1 is null then 'no first_level_category_id' end,
+      case when lv2 is null then 'no second_level_category_id' end) as error
+    from item_vectors where image_vec is null or area_id is null or lv1 is null or lv2 is null""",
+)
+def recent_errors(spark, folder):
+    products, images, vectors = recent_inputs(spark, folder)
+    return jobs.search_rows(T.scan_recent_days(products, TARGET), images, vectors, dims=HASH_DIMS)[1]

@@ -20,7 +20,7 @@ def unit_rows_sql(name: str, vec: str) -> str:
     return f"""{name} as (
       select *, list_transform(x, lambda e: e / len2) as u, row_number() over (
         partition by area_id, spu_sn order by dt desc, row_id desc) = 1 as asks,
-        count(*) over (partition by area_id) as area_rows
+        count(x) over (partition by area_id) as area_rows
       from (select *, sqrt(list_dot_product(x, x)) as len2
             from (select *, {vec}::DOUBLE[] as x from item_vectors)))"""
 
@@ -250,8 +250,8 @@ def job_rows(spark, folder):
     )
 
 
-def published(lists, ttl_seconds):
-    key = dated_key(TARGET_DAY, F.col("spu_sn"))
+def published(lists, ttl_seconds, day=TARGET_DAY):
+    key = dated_key(day, F.col("spu_sn"))
     now = F.lit(NOW).cast("timestamp")
     rows = kv.kv_rows(lists, key, now, ttl_seconds, keep=["area_id"])
     return rows.withColumn("expire_at", F.date_format("expire_at", "yyyy-MM-dd HH:mm:ss"))

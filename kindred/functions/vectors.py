@@ -63,13 +63,14 @@ def pair_features(u: Column, v: Column) -> Column:
 
 
 def mean_of(vectors: Column) -> Column:
-    """Element-wise mean of a short array of vectors."""
+    """Element-wise mean of a short array of vectors; NULL if they differ in length or have gaps."""
     total = F.aggregate(
         F.slice(vectors, 2, F.size(vectors)),
-        as_double(vectors[0]),
+        as_double(F.get(vectors, F.lit(0))),
         lambda acc, v: F.zip_with(acc, as_double(v), lambda x, y: x + y),
     )
-    return F.when(F.size(vectors) > 0, F.transform(total, lambda x: x / F.size(vectors)))
+    mean = F.transform(total, lambda x: x / F.size(vectors))
+    return _bind(mean, lambda m: F.when((F.size(vectors) > 0) & ~F.exists(m, lambda x: x.isNull()), m))
 
 
 def margin_scores(

@@ -21,7 +21,7 @@ from kindred.operators.similar import (
     similar_before_rules,
     similar_recent,
 )
-from kindred.operators.tables import valid_sku, with_title
+from kindred.operators.tables import scan_recent_days, valid_sku, with_title
 from kindred.session import materialize
 
 KEYS = {"q_area_id": "area_id", "q_spu_sn": "spu_sn"}
@@ -56,15 +56,23 @@ def similar_items(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 def similar_items_recent(
-    rows: DataFrame, target_day: str, share: int = 7, block_rows: int = BLOCK_ROWS
+    rows: DataFrame,
+    target_day: str,
+    share: int = 7,
+    block_rows: int = BLOCK_ROWS,
+    state: str | None = None,
 ) -> DataFrame:
-    """As :func:`similar_items` over several days; only items of ``target_day`` are returned."""
+    """As :func:`similar_items` over several days; only items of ``target_day`` are returned.
+
+    ``state`` names a folder that keeps, day by day, what was counted for the vectors seen so far.
+    """
     text = similar_recent(
         rows,
         target_day=target_day,
         share=share,
         min_score=-0.6,
         cap=101,
+        state=state and f"{state}/text",
         **_names(TEXT_CATEGORY, "text_vec", block_rows),
     )
     image = similar_recent(
@@ -73,6 +81,7 @@ def similar_items_recent(
         share=share,
         min_score=0.15,
         cap=27,
+        state=state and f"{state}/image",
         **_names(IMAGE_CATEGORY, "image_vec", block_rows),
     )
     return merge_neighbours(
@@ -95,8 +104,8 @@ def search_rows(
 
     ``products``: one row per area and item with its categories, names and ``sku``; rows without
     sku are left out. ``images``: ``spu_sn, n, image_id, vec``, numbered from 0. Titles become mean
-    word vectors, images mean vectors. The error rows (``row_id, spu_sn, error``) have no title
-    vector, no image vector or neither, and take no part in that search.
+    word vectors, images mean vectors. The error rows (``row_id, spu_sn, error``) lack a title vector,
+    an image vector, the area or a category, and take no part in the searches that need it.
     """
     titled = with_title(valid_sku(products))
     text = sentence_vectors(titled, row_id, F.col("title"), word_vectors, dims)
@@ -111,10 +120,34 @@ def search_rows(
         F.array(
             F.when(F.col("text_vec").isNull(), "no known word in the title"),
             F.when(F.col("image_vec").isNull(), "no image"),
+            *[F.when(F.col(c).isNull(), f"no {c}") for c in ("area_id", TEXT_CATEGORY, IMAGE_CATEGORY)],
         )
     )
-    failed = rows.where("text_vec is null or image_vec is null")
-    return rows, failed.select(row_id, item, F.array_join(missing, ", ").alias("error"))
+    told = rows.select(row_id, item, F.array_join(missing, ", ").alias("error"))
+    return rows, told.where("error <> ''")
+
+
+def similar_items_of_days(
+    products: DataFrame,
+    images: DataFrame,
+    word_vectors: DataFrame,
+    target_day: str,
+    *,
+    days: int = 7,
+    share: int = 7,
+    dims: int | None = None,
+    state: str | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """From a product table by days to the lists of ``target_day``, and the error rows.
+
+    ``products`` has one row per area, item and day ``dt``, by which it should be partitioned: only the
+    folders from ``days`` days before ``target_day`` on are read. With ``state``, a folder, the run of a
+    new day counts its rows for all vectors, and the rows of earlier days for new vectors only.
+    """
+    recent = scan_recent_days(products, target_day, days)
+    rows, errors = search_rows(recent, images, word_vectors, dims=dims)
+    return similar_items_recent(rows, target_day, share, block_rows, state), errors
 
 
 def encoded_rows(vectors: DataFrame, key: str, vec: Column, name: str) -> DataFrame:
