@@ -37,6 +37,14 @@ def per_text(
     return picked.mapInArrow(run, schema)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_hash(text: str) -> Column:
     """A hash that tells apart rows of one key; null is an empty text."""
     return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
@@ -44,8 +52,9 @@ def text_hash(text: str) -> Column:
 
 def rows_of(docs: DataFrame, kept: DataFrame, text: str, key: str) -> DataFrame:
     """The rows of ``docs`` whose key (null too) and text are those of ``key, text_hash`` in ``kept``."""
-    wanted = kept.select(F.col(f"`{key}`").alias("_kept_key"), F.col("text_hash").alias("_kept_hash"))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_kept_key")) & (text_hash(text) == F.col("_kept_hash"))
+    own, digest = fresh("_kept_key", docs), fresh("_kept_hash", docs)
+    wanted = kept.select(F.col(f"`{key}`").alias(own), F.col("text_hash").alias(digest))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(own)) & (text_hash(text) == F.col(digest))
     return docs.join(wanted, same, "left_semi")
 
 

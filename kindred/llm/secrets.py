@@ -8,6 +8,8 @@ intervals they cover, and one is reported only where its complements stand nearb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.columns import fresh
+
 # Fixed patterns of the base kinds.
 ASSIGN = (
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -197,8 +199,9 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     All columns and rows are kept; texts without spans, null ones too, stay as they are.
     """
+    of, digest, spans, own = (fresh(n, docs) for n in ("_key", "_hash", "_spans", "_own_hash"))
     found = spans_of(docs, text, key).filter(F.size("spans") > 0)
-    found = found.groupBy("_key", "_hash").agg(F.max("spans").alias("_spans"))
+    found = found.groupBy(F.col("_key").alias(of), F.col("_hash").alias(digest)).agg(F.max("spans").alias(spans))
     value = F.col(f"`{text}`")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("done"))
 
@@ -212,11 +215,9 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         )
 
     rest = lambda acc: F.concat(acc["out"], F.substr(value, acc["done"].cast("int") + 1))
-    blank = F.when(F.col("_spans").isNull(), value).otherwise(
-        F.aggregate("_spans", start, step, rest)
-    )
-    marked = docs.withColumn("_own_hash", F.xxhash64(F.coalesce(value, F.lit(""))))
+    blank = F.when(F.col(spans).isNull(), value).otherwise(F.aggregate(spans, start, step, rest))
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(value, F.lit(""))))
     joined = marked.join(
-        found, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col("_own_hash") == F.col("_hash")), "left"
+        found, F.col(f"`{key}`").eqNullSafe(F.col(of)) & (F.col(own) == F.col(digest)), "left"
     )
     return joined.select(*[blank.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

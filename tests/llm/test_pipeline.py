@@ -33,3 +33,23 @@ def test_stages(spark, tmp_path):
     assert kept[162] == extra + '[SECRET]"' and kept[5] == clean[5]
     assert corpus_pipeline.run(spark, folder).count() == docs.count() > 121
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(kept)
+
+
+def test_stages_with_columns_named_as_their_own(spark, tmp_path):
+    """Extra columns come back as they were, and an empty table passes."""
+    clean = [f"The river runs past the old mill and on to town {i}.\n" * 6 for i in range(30)]
+    names = ["_kept_key", "_kept_hash", "_key", "_hash", "_spans", "_own_hash", "text_hash", "kept", "spans"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
+        f"{n} string" for n in names
+    )
+    rows = [(i, t, "en", "s", len(t), *[f"{n}-{i}" for n in names]) for i, t in enumerate(clean)]
+    labels = [(i, i % 2, 0) for i in range(30)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, empty = spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[n] == f"{n}-{r.doc_id}" for n in names), name
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() >= 30
