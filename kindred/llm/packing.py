@@ -32,7 +32,10 @@ LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 NEIGHBOURS = (b"  ", b" \n", b"\n ", b"\n\n")
 OTHER_SPACE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\0"  # and the mark used for cutting
 WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80")
-# Latin letters, on which all word splitters agree, and one mark
+# printable ASCII and line ends, and letters of Latin-1: characters on which all word splitters agree
+ASCII = bytes([*range(0x20, 0x7F), 0x0A])
+LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+# Latin letters and one mark
 PLAIN = re.compile(rb"( ?" + LETTER + rb"+)([.,;:!?|]?)")
 
 
@@ -71,9 +74,11 @@ def rank_encoder(path: str) -> tiktoken.Encoding | None:
 
 
 class SpacedTokenizer:
-    """Ids as by the tokenizers library, each word with the space before it encoded once.
+    """Ids as by the tokenizers library, for byte-level files.
 
-    For byte-level files: a space or line end between two other characters is a word's border.
+    A text of ASCII and Latin letters is encoded whole by the file's ranks. Of other texts each word with
+    the space before it is encoded once: a space or line end between two other characters is a word's
+    border.
     """
 
     def __init__(self, path: str):
@@ -81,8 +86,17 @@ class SpacedTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.ranks = rank_encoder(path)
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.known = Cache()
 
+    def plain(self, text: bytes) -> bool:
+        """Whether ranks give the library's ids for the whole text."""
+        return (
+            self.ranks is not None
+            and LATIN.fullmatch(text.translate(None, ASCII)) is not None
+            and not any(token in text for token in self.special)
+        )
+
     def _encoded(self, word: bytes) -> bytes:
         """Ids of Latin letters, maybe after a space, or of a mark."""
         if self.ranks:
@@ -120,6 +134,8 @@ class SpacedTokenizer:
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text in UTF-8, as little-endian unsigned 32-bit integers."""
+        if self.plain(text):
+            return np.array(self.ranks.encode_ordinary(text.decode()), "<u4").tobytes()
         if needs_care(text):
             first, *more = LONE_SPACE.split(text.decode("utf-8", "replace"))
             chunks = [first.encode(), *[f" {m}".encode() for m in more]]
