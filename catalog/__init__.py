@@ -4,7 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from catalog import daily, evaluation, files, pairs, products, similarity, texts, vectors  # noqa: F401
+from catalog import daily, evaluation, files, pairs, products, refresh, similarity, texts, vectors  # noqa: F401
 from catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -24,19 +24,22 @@ def class_weights(spark, folder):
 
 @query(
     "weighted_sample",
-    f"""with {PAIR_ITEMS}, rows_ as (select item_id, tag_id, row_number() over (
+    f"""with {PAIR_ITEMS}, tagged as (
+      select item_id, nullif(tag_id, -1) as tag_id from pair_items), rows_ as (select item_id, tag_id, row_number() over (
         partition by tag_id order by {unit_sql(SEED + ':order', 'item_id')}, item_id) - 1 as idx
-      from pair_items),
+      from tagged),
     classes as (select tag_id, n, row_number() over (
         order by {unit_sql(SEED + ':class', 'tag_id')}, tag_id) - 1 as class_idx
-      from (select tag_id, count(*) as n from pair_items group by tag_id)),
+      from (select tag_id, count(*) as n from tagged group by tag_id)),
     draws as (select item_id as draw_id, {hash_sql(SEED + ':pick', 'item_id')}
         % (select count(*) from classes) as class_idx from pair_items)
     select d.draw_id, r.item_id, r.tag_id from draws d join classes c using (class_idx)
-    join rows_ r on r.tag_id = c.tag_id and r.idx = {hash_sql(SEED + ':row', 'd.draw_id')} % c.n""",
+    join rows_ r on r.tag_id is not distinct from c.tag_id and r.idx = {hash_sql(SEED + ':row', 'd.draw_id')} % c.n""",
 )
 def weighted_sample(spark, folder):
-    return S.weighted_sample(pair_items(spark, folder), "item_id", "tag_id", SEED)
+    tag = F.when(F.col("tag_id") != -1, F.col("tag_id"))  # items without tag are a class
+    items = pair_items(spark, folder).withColumn("tag_id", tag)
+    return S.weighted_sample(items, "item_id", "tag_id", SEED)
 
 
 @query(

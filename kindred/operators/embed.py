@@ -108,8 +108,9 @@ def sentence_vectors(
 
     The ``frequent`` most frequent words, which make up most of any text, are broadcast; their
     vectors are added up where the text is read. Only the rarer words are shuffled, so no word that
-    stands in every text is a join key.
+    stands in every text is a join key. Of a word's vectors, if it has several, the greatest counts.
     """
+    word_vectors = word_vectors.groupBy("word").agg(F.max("vec").alias("vec"))
     tokens = df.select(row_id, F.explode(words(text)).alias("word"))
     counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("_uses"))
     top = counts.orderBy(F.desc("_uses"), "word").limit(frequent).select("word")

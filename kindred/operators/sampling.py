@@ -25,13 +25,13 @@ def weighted_sample(
 ) -> DataFrame:
     """As many draws with replacement as there are rows, each row weighing 1 / its class count.
 
-    Every class then has the same mass: a draw picks a class, then a row of that class.
+    Every class then has the same mass: a draw picks a class, then a row of that class. Rows without
+    label are a class.
     Returns ``draw_id`` and the drawn row's id and label.
     """
     rows = df.select(row_id, label).withColumn("_unit", hash_unit(seed + ":order", F.col(row_id)))
     rows = shuffled_index(rows, "_unit", row_id, [label], bucket_rows=bucket_rows)
     classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("class_rows"))
-    classes = classes.where(F.col(label).isNotNull())
     numbered = shuffled_index(
         classes.withColumn("_unit", hash_unit(seed + ":class", F.col(label))), "_unit", label
     )
@@ -41,11 +41,13 @@ def weighted_sample(
         F.pmod(hash_int(seed + ":pick", F.col(row_id)), class_count).alias("class_idx"),
     )
     chosen = draws.join(
-        numbered.select(F.col("idx").alias("class_idx"), F.col(label), "class_rows"), "class_idx"
-    ).withColumn("idx", F.pmod(hash_int(seed + ":row", F.col("draw_id")), F.col("class_rows")))
-    return chosen.join(rows.select(label, "idx", row_id), [label, "idx"]).select(
-        "draw_id", row_id, label
-    )
+        numbered.select(
+            F.col("idx").alias("class_idx"), F.col(label).alias("_class"), "class_rows"
+        ),
+        "class_idx",
+    ).withColumn("_idx", F.pmod(hash_int(seed + ":row", F.col("draw_id")), F.col("class_rows")))
+    drawn = F.col("_class").eqNullSafe(F.col(label)) & (F.col("_idx") == F.col("idx"))
+    return chosen.join(rows.select(label, "idx", row_id), drawn).select("draw_id", row_id, label)
 
 
 def _rules(lv1: str, lv2: str, tag: str, name: str) -> dict[str, tuple]:

@@ -1,6 +1,7 @@
 """Whole jobs, put together from the operators."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from kindred.operators.embed import (
     mean_pool_images,
     sentence_vectors,
 )
-from kindred.operators.merge import append_embeddings, merge_neighbours, new_items
+from kindred.operators.merge import append_embeddings, merge_bucketed, merge_neighbours, new_items
 from kindred.operators.similar import (
     BLOCK_ROWS,
     neighbour_lists,
@@ -21,8 +22,10 @@ from kindred.operators.similar import (
     similar_before_rules,
     similar_recent,
 )
-from kindred.operators.tables import scan_recent_days, valid_sku, with_title
+from kindred.operators.tables import product_dim, scan_recent_days, valid_sku, with_title
 from kindred.session import materialize
+from kindred.sources.files import read_vector_files
+from kindred.sources.tables import embedding_schema, stage_and_publish, write_bucketed, write_table
 
 KEYS = {"q_area_id": "area_id", "q_spu_sn": "spu_sn"}
 TEXT_CATEGORY = "first_level_category_id"
@@ -168,12 +171,15 @@ def incremental_embeddings(
     name: str,
     day: str,
     stamp: str = "all",
+    tried: DataFrame | None = None,
 ) -> DataFrame:
     """Embed the items missing from ``old`` and append them; failed rows wait for the next run.
 
-    :func:`embedding_attempts` tells which rows fail and why.
+    :func:`embedding_attempts` tells which rows fail and why. Its result, written once, may be handed
+    in as ``tried``, so that table and errors come from one run of the model.
     """
-    tried = embedding_attempts(items, old, key=key, inputs=inputs, load_model=load_model)
+    if tried is None:
+        tried = embedding_attempts(items, old, key=key, inputs=inputs, load_model=load_model)
     embedded = tried.where(F.col("vec").isNotNull())
     return append_embeddings(old, encoded_rows(embedded, key, F.col("vec"), name), day, stamp)
 
@@ -191,9 +197,117 @@ def embedding_attempts(
     return embed_batch(new_items(single, old, key), key, inputs, load_model)
 
 
+def vectors_of_items(items: DataFrame, cache: DataFrame, *, key: str, vec: str) -> DataFrame:
+    """One row per item, ``key, vec, error``; repeated items and repeated vectors make no more rows.
+
+    Of an item's vectors the greatest counts. ``error`` tells of items without key, without vector, and
+    of those whose vectors can't be read (NULL, or with a NULL element).
+    """
+    sound = F.when(~F.exists(F.col(vec), lambda x: x.isNull()), F.col(vec))
+    held = cache.groupBy(key).agg(F.max(sound).alias("vec"))
+    joined = items.select(key).distinct().join(held.withColumn("_held", F.lit(True)), key, "left")
+    error = (
+        F.when(F.col(key).isNull(), "no key")
+        .when(F.col("_held").isNull(), "no vector")
+        .when(F.col("vec").isNull(), "vector can't be read")
+    )
+    return joined.select(key, "vec", error.alias("error"))
+
+
 def refresh_embeddings(
     items: DataFrame, cache: DataFrame, *, key: str, vec: str, name: str, day: str
 ) -> DataFrame:
     """Embeddings of all items with a cached vector; earlier rows are not kept."""
-    cached = items.select(key).join(cache.select(key, vec), key)
-    return encoded_rows(cached, key, F.col(vec), name).withColumn("modifydate", F.lit(day))
+    cached = vectors_of_items(items, cache, key=key, vec=vec).where("error is null")
+    return encoded_rows(cached, key, F.col("vec"), name).withColumn("modifydate", F.lit(day))
+
+
+def refresh_from_files(
+    items: DataFrame,
+    folder: str,
+    table: str,
+    *,
+    key: str,
+    key_pattern: str,
+    name: str,
+    day: str,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Publish table ``table`` anew from the vector files of the items, and return the error rows.
+
+    ``folder`` holds a file per item (see :func:`read_vector_files`). Vectors become unit vectors in
+    brackets; rows of earlier runs go. The files are read once, and the table is overwritten only
+    after all its rows are written. The error rows are ``key, error``.
+    """
+    files = read_vector_files(items.sparkSession, folder, key_pattern, key)
+    found = materialize(vectors_of_items(items, files, key=key, vec="vec"), "vectors-of-items")
+    rows = encoded_rows(found.where("error is null"), key, F.col("vec"), name)
+    schema = embedding_schema(key, name)
+    stage_and_publish(rows.withColumn("modifydate", F.lit(day)), table, schema, partitions)
+    return found.where("error is not null").select(key, "error")
+
+
+ATTRIBUTES = {
+    c: c
+    for c in (
+        "product_name",
+        "product_title",
+        "first_level_category_name",
+        "second_level_category_name",
+    )
+}
+
+
+def multimodal_table(
+    products: DataFrame,
+    word_vectors: DataFrame,
+    load_model: ModelFactory,
+    folder: str,
+    table: str,
+    *,
+    key: str,
+    key_pattern: str,
+    day: str,
+    buckets: int,
+    dims: int | None = None,
+) -> DataFrame:
+    """Publish the wide table of word, model and image vectors, and return the error rows.
+
+    ``products`` are product rows, several to an item; an attribute's greatest value counts. Titles
+    give the mean of their words' vectors (``fasttext_emb``) and what the model makes of them
+    (``bert_emb``); ``folder`` holds image vector files (``cv_emb``). An item that only one of them
+    knows has a row too, with '' in the other columns.
+
+    Every modality is first settled to one row per item in a table ``{table}_{modality}``, bucketed by
+    item, and the wide table is put together from them without another shuffle. So the model runs once, and a modality that another job keeps can be merged in the same way. The
+    error rows (``key, modality, error``) tell of titles without known word, of items that the model
+    fails on, and of files that can't be read.
+    """
+    spark = products.sparkSession
+    titled = materialize(
+        with_title(product_dim(products.where(F.col(key).isNotNull()), key, ATTRIBUTES)).select(
+            key, "title"
+        ),
+        "titles",
+    )
+    words = sentence_vectors(titled, key, F.col("title"), word_vectors, dims)
+    tried = materialize(embed_batch(titled, key, ["title"], load_model), "model-vectors")
+    files = read_vector_files(spark, folder, key_pattern, key)
+    files = materialize(files.groupBy(key).agg(F.max("vec").alias("vec")), "file-vectors")
+    modalities = {"fasttext_emb": words, "bert_emb": tried, "cv_emb": files}
+    for name, vectors in modalities.items():
+        number = F.col("vec").cast("array<float>")
+        rows = vectors.select(key, encode_vector(number, brackets=False).alias(name))
+        schema = embedding_schema(key, name, stamp=False)
+        write_bucketed(rows.where(F.col(name).isNotNull()), f"{table}_{name}", schema, key, buckets)
+    settled = {name: spark.table(f"{table}_{name}") for name in modalities}
+    wide = merge_bucketed(list(settled.values()), key, day)
+    write_table(wide, table, embedding_schema(key, *modalities))
+    unknown = titled.join(settled["fasttext_emb"].select(key), key, "left_anti")
+    odd = {
+        "fasttext_emb": unknown.select(key, F.lit("no known word in the title").alias("error")),
+        "bert_emb": tried.where("vec is null").select(key, "error"),
+        "cv_emb": files.where("vec is null").select(key, F.lit("vector can't be read").alias("error")),
+    }
+    told = [df.select(key, F.lit(name).alias("modality"), "error") for name, df in odd.items()]
+    return reduce(DataFrame.unionByName, told)

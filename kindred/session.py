@@ -31,6 +31,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a path that :func:`scratch_path` gave and nothing reads any more."""
+    if not path.startswith(shared_folder(spark) + "/"):
+        raise ValueError(f"{path} is no scratch path")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write rows that several later steps read to the shared folder, and read them from there.
 

@@ -4,14 +4,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from kindred.session import scratch_path
+from kindred.operators.merge import one_row_per_key
+from kindred.session import remove_scratch, scratch_path
 
 FILE_ROWS = 1_000_000
 
 
-def embedding_schema(key: str, *vectors: str) -> StructType:
-    """A non-null text key, text vectors and the day stamp."""
-    optional = [StructField(c, StringType(), True) for c in (*vectors, "modifydate")]
+def embedding_schema(key: str, *vectors: str, stamp: bool = True) -> StructType:
+    """A non-null text key, text vectors and, unless told otherwise, the day stamp."""
+    names = (*vectors, "modifydate") if stamp else vectors
+    optional = [StructField(c, StringType(), True) for c in names]
     return StructType([StructField(key, StringType(), False), *optional])
 
 
@@ -62,6 +64,7 @@ def stage_and_publish(
     """Write the rows to a staging folder, then overwrite table ``name`` from there.
 
     The job may read ``name`` itself: its old files are not touched until the new rows are whole.
+    The staging folder is removed once they are published.
     """
     spark: SparkSession = df.sparkSession
     staging = scratch_path(spark, "staging")
@@ -70,3 +73,19 @@ def stage_and_publish(
     typed.write.option("maxRecordsPerFile", FILE_ROWS).parquet(staging)
     staged = spark.read.schema(schema).parquet(staging)
     staged.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+    remove_scratch(spark, staging)
+
+
+def write_bucketed(
+    df: DataFrame, name: str, schema: StructType, key: str, buckets: int, path: str | None = None
+) -> None:
+    """Overwrite a table that is bucketed and sorted by ``key``, one row per key.
+
+    Of rows with one key the greatest stays. One shuffle serves this and the buckets, so each bucket
+    is one file and tables with equal ``buckets`` join without a shuffle.
+    """
+    others = [f.name for f in schema.fields if f.name != key]
+    single = one_row_per_key(as_typed(df, schema).repartition(buckets, key), key, others)
+    writer = single.select(*schema.fieldNames()).write.mode("overwrite")
+    writer = writer.bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
