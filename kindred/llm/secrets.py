@@ -65,8 +65,8 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
 def spans_of(docs: DataFrame, text: str, key: str) -> DataFrame:
     """``key``, ``hash`` of the text and ``spans`` (start, kind, end) of every row, sorted.
 
-    Matches are numbered and placed by running sums and linked by sorted neighbours, so the work is
-    linear in the matches of a text. Rows are told apart by their place in the input, which a table
+    Matches are numbered and placed by running sums and joined by the intervals they cover with
+    running bounds, so the work is that of sorting the matches of a text. Rows are told apart by their place in the input, which a table
     scan repeats when a task is run again.
     """
     rows = docs.select(
@@ -128,23 +128,27 @@ def _linked(placed: DataFrame) -> DataFrame:
     scoped = placed.withColumn(
         "_scope", F.coalesce(F.sum((kind == number["break"]).cast("int")).over(up), F.lit(0))
     )
+    # Parts within reach of [start, end): some part of the scope that starts no later ends late
+    # enough, or some part that starts no earlier starts early enough. Nested parts hide nothing, as
+    # the greatest end and the least start are over all parts and not those of a neighbour.
+    scope = Window.partitionBy("_row", "_scope")
+    before = scope.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = scope.orderBy(F.col("start").desc(), kind.desc()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     near = {}
     columns = {
         "_covered": F.max(F.when(base, F.col("end"))).over(up),
         "_next": F.min(F.when(base, F.col("start"))).over(down),
     }
+    linked = {}
     for name, member in groups.items():
-        part = F.when(member, F.struct("_scope", "start", "end"))
-        columns[f"_{name}_up"] = F.last(part, ignorenulls=True).over(up)
-        columns[f"_{name}_down"] = F.last(part, ignorenulls=True).over(down)
-        left, right = F.col(f"_{name}_up"), F.col(f"_{name}_down")
+        linked[f"_{name}_end"] = F.max(F.when(member, F.col("end"))).over(before)
+        linked[f"_{name}_start"] = F.min(F.when(member, F.col("start"))).over(after)
         near[name] = F.coalesce(
-            (left["_scope"] == F.col("_scope")) & (F.col("start") - left["end"] <= REACH), F.lit(False)
-        ) | F.coalesce(
-            (right["_scope"] == F.col("_scope")) & (right["start"] - F.col("end") <= REACH),
-            F.lit(False),
-        )
-    found = scoped.withColumns(columns)
+            F.col("start") - F.col(f"_{name}_end") <= REACH, F.lit(False)
+        ) | F.coalesce(F.col(f"_{name}_start") - F.col("end") <= REACH, F.lit(False))
+    found = scoped.withColumns(columns).withColumns(linked)
     inside = F.coalesce(F.col("_covered") > F.col("start"), F.lit(False)) | F.coalesce(
         F.col("_next") < F.col("end"), F.lit(False)
     )

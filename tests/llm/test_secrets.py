@@ -62,6 +62,47 @@ def test_links(make_docs):
     assert got[7] == at(7, f"token={KEY}", "assign")
 
 
+def pairwise(text):
+    """Base spans, and weak parts by looking at every pair of parts of the text."""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 32]
+    for kind, pattern in enumerate(secrets.PARTS.values(), 3):
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text, re.ASCII)]
+    cuts = [m.start() for m in re.finditer(secrets.BREAK, text)]
+    scope = lambda p: sum(c < p[0] for c in cuts)
+    distance = lambda p, q: max(q[0] - p[2], p[0] - q[2])
+
+    def near(p, kinds):
+        return any(
+            q is not p and q[1] in kinds and scope(p) == scope(q) and distance(p, q) <= secrets.REACH
+            for q in found
+        )
+
+    secret, name, place = (0, 2, 3), (1, 4), (5,)
+    needs = {3: (name,), 4: (secret, place), 5: (secret, name)}
+    told = []
+    for p in found:
+        inside = any(q is not p and q[1] < 3 and q[0] < p[2] and p[0] < q[2] for q in found)
+        if p[1] < 3 or not inside and all(near(p, kinds) for kinds in needs[p[1]]):
+            told.append(p)
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(told))
+
+
+def test_links_of_nested_parts_equal_those_of_all_pairs(make_docs):
+    rng = random.Random(7)
+    inner = "0123456789abcdef" * 2
+    long = f"password={inner}." + "z" * 400
+    texts = [long + " " * 100 + "user=alice https://h.example/x"]
+    texts += ["https://h.example/x user=alice " + " " * 250 + long]
+    pieces = [long, f"token={inner}", KEY, "user=bob", "https://h.example/" + "p" * 320, "https://a.example/b",
+              f"https://u.example/user=carl&key={inner}", "AKIA0123456789ABCD", "\n\n", "\n \n", inner, "y " * 60, "y " * 140]
+    texts += [" ".join(rng.choices(pieces, k=rng.randint(2, 9))) for _ in range(400)]
+    got = {r.doc_id: r.spans for r in secrets.scan(make_docs(enumerate(texts))).collect()}
+    assert got == {i: pairwise(t) for i, t in enumerate(texts)}
+    assert "identity" in got[0] and "endpoint" in got[0] and "identity" in got[1] and "endpoint" in got[1]
+
+
 def test_redact(make_docs):
     docs = make_docs([(1, "é token=abcdefgh12 x"), (1, "plain"), (2, None), (None, "secret: 12345678"), (1, "plain")])
     out = secrets.redact(docs)
