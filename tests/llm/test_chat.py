@@ -49,6 +49,43 @@ def test_layouts(spark):
     }
 
 
+def test_fields_count_where_they_stand(spark):
+    message = {"role": "user", "content": "a"}
+    odd = {"role": "user", "attachments": [{"name": "f", "size": {"kb": 1}}], "content": "b", "z": {"role": 1}}
+    objects = [
+        (1, {"x": {"messages": [message]}, "prompt": "p", "completion": "c"}),
+        (2, {"messages": [odd, message], "tail": [[{"q": 1}], []]}),
+        (3, {"messages": [{"role": "user", "content": [{"type": "text", "text": "t"}, {"type": "image"}, {"text": "u"}]}]}),
+        (4, {"messages": [{"role": "user", "content": [{"text": "t"}]}, {"role": "assistant", "content": "s"}]}),
+        (5, {"a b": {"<messages: ARRAY<": 1}, "prompt": "p", "response": "r", "x`y": [1.5]}),
+        (6, {"y": {"prompt": "p", "completion": "c"}}),
+        (7, {"prompt": {"text": "p"}, "completion": "c"}),
+        (8, {"messages": {"role": "user", "content": "no list"}}),
+        (9, {"messages": [{"x": message}]}),
+        (10, {"y": {"prompt": "other", "completion": None}}),
+        (11, None),
+        (12, {}),
+    ]
+    df = records(spark, objects)
+    assert turns(chat.canonical_turns(df, "id")) == {
+        1: [("user", "p"), ("assistant", "c")],
+        2: [("user", "b"), ("user", "a")],
+        3: [("user", "t\n\nu")],
+        4: [("user", "t"), ("assistant", "s")],
+        5: [("user", "p"), ("assistant", "r")],
+    }
+    left = chat.unmatched(df).collect()
+    assert sorted(r.records for r in left) == [1, 1, 1, 1, 1, 2]
+    assert len({r.fingerprint for r in left}) == 6
+
+
+def test_key_named_as_the_record(spark):
+    df = records(spark, [(1, {"prompt": "p", "completion": "c"})])
+    named = df.select(F.col("record").alias("said"), F.col("id").alias("record"))
+    got = chat.canonical_turns(named, "record", "said").collect()
+    assert [(r.record, len(r.turns)) for r in got] == [(1, 2)]
+
+
 def test_fingerprints(spark):
     same = [(1, {"prompt": "a", "completion": "b"}), (2, {"completion": 5, "prompt": None}), (3, {"prompt": "a"})]
     marks = {r.id: r._fingerprint for r in chat.with_layout(records(spark, same)).collect()}
