@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kindred.llm.columns import per_text, rows_of, text_hash
 
 SAMPLE_DOCS = 4000  # labelled rows that the fit may hold; chosen by hash
-SAMPLE_CHARS = 40_000  # the fit takes rows of no more characters; scoring takes all texts whole
+SAMPLE_CHARS = 40_000  # characters of a row that the fit may hold; scoring takes all texts whole
 HASHED = 256  # columns for hashed word shapes
 LONG_LINE = 400  # words; longer lines count as several, so that features stay comparable
 SYMBOLS = b"#*$%&|<>"
@@ -252,10 +252,16 @@ def held_out(key: str = "doc_id"):
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", limit: int = SAMPLE_DOCS
+    docs: DataFrame,
+    labels: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    limit: int = SAMPLE_DOCS,
+    longest: int = SAMPLE_CHARS,
 ) -> Model:
     """Fit on at most ``limit`` labelled documents that aren't held out, chosen by a hash of the id.
 
+    The sample is bounded by ``limit`` rows of at most ``longest`` characters each.
     Labels other than 0 and 1 and null labels or ids are passed over; a document labelled both ways
     counts as bad. The texts of the sample, not of the corpus, reach the driver.
     """
@@ -269,7 +275,7 @@ def train(
     some = known.orderBy(F.xxhash64("_key"), "_key").limit(2 * limit)
     texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
     found = (
-        texts.filter(F.coalesce(F.char_length("_text"), F.lit(0)) <= SAMPLE_CHARS)
+        texts.filter(F.coalesce(F.char_length("_text"), F.lit(0)) <= longest)
         .join(F.broadcast(some), "_key")
         .orderBy(F.xxhash64("_key"), "_key", "_text")
         .limit(limit)

@@ -125,13 +125,20 @@ placed as (
     cast(coalesce(sum(length * copies) over (partition by side, floor(page_id / 1024)
       order by page_id, sha256 rows between unbounded preceding and 1 preceding), 0) as bigint)
       as "offset" from records),
-alone as (
-  select *, count(*) over (partition by page_id, sha256, length, copies) as sides from placed)
+paired as (
+  select page_id, sha256, length, copies, max(archive) as archive,
+    max("offset") filter (where side = 'a') as a, max("offset") filter (where side = 'b') as b
+  from placed group by 1, 2, 3, 4),
+alone as (select *, case when b is null then 'a' else 'b' end as side from paired where a is null or b is null)
 select archive, page_id, side,
   case when min(side) over (partition by page_id) <> max(side) over (partition by page_id) then 'corrupt'
     when side = 'a' then 'missing' else 'extra' end as status,
-  "offset", length, sha256, copies
-from alone where sides = 1"""
+  coalesce(a, b) as "offset", length, sha256, copies, cast(null as bigint) as shift, 1 as records
+from alone
+union all
+select archive, min(page_id), 'a', 'moved', min(a), sum(length * copies)::bigint, null,
+  sum(copies)::bigint, b - a, count(*)
+from paired where a <> b group by archive, b - a"""
 
 
 @query("op6_fixity", FIXITY_SQL)
