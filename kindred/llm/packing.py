@@ -1,15 +1,17 @@
 """Harmonic packing of documents into token sequences.
 
-The classes are the reciprocal shares of a sequence: lengths ``capacity // j``, ``j`` to a bin. A
-document is cut into full sequences and, of what is left, the greatest class length that fits, again
-and again, so that every piece has exactly a class length. Each worker numbers the pieces of each
-class; the pieces numbered ``i * j`` to ``i * j + j - 1`` fill bin ``i``. Only the counts of the
-workers are added up, and only each class's last, partly filled bin is packed again.
+The classes are the reciprocal shares of a sequence: lengths over ``capacity / (j + 1)`` and up to
+``capacity / j``, ``j`` pieces to a bin. A document is cut into full sequences, and what is left stays
+whole or is cut further, where that saves more padding than a piece costs. Each worker fills the
+bins of each class with its own pieces, ``j`` to a bin. What is left of a worker's last bins is
+numbered through by class and fills bins in the same way; only the counts of the workers are added up
+for that, and only each class's last, partly filled bin is packed again.
 """
 
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack as packed
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -153,55 +155,85 @@ def load(path: str) -> SpacedTokenizer:
     return SpacedTokenizer(path)
 
 
+PIECE_COST = 1 / 32  # padding, as a share of a sequence, that one more piece must save; over 0
+
+
 def class_lengths(capacity: int) -> list[int]:
-    """The lengths that fill a sequence a whole number of times, longest first."""
+    """The greatest lengths of the classes: ``capacity // j``, longest first."""
     return sorted({capacity // j for j in range(1, capacity + 1)}, reverse=True)
 
 
-def cut(length: int, capacity: int, lengths: list[int]) -> list[int]:
-    """Class lengths that add up to ``length``."""
-    pieces = [capacity] * (length // capacity)
-    left = length % capacity
-    for size in lengths:
-        while size <= left:
-            pieces.append(size)
-            left -= size
+@lru_cache(maxsize=8)
+def splits(capacity: int, piece_cost: float) -> list[int]:
+    """For each length below ``capacity`` the length of the piece to cut off, 0 to leave it whole.
+
+    Pieces cut off have the greatest length of a class, so that they waste nothing to speak of; what
+    a piece wastes is its share of a bin less its length. The sum of waste and cost is the least.
+    """
+    sizes = np.array(class_lengths(capacity)[::-1])
+    wasted = capacity / (capacity // sizes) - sizes + piece_cost * capacity
+    least, first = np.zeros(capacity), [0] * capacity
+    for length in range(1, capacity):
+        least[length] = capacity / (capacity // length) - length
+        shorter = np.searchsorted(sizes, length)
+        if shorter:
+            costs = wasted[:shorter] + least[length - sizes[:shorter]]
+            best = int(costs.argmin())
+            if costs[best] < least[length]:
+                least[length], first[length] = costs[best], int(sizes[best])
+    return first
+
+
+def cut(length: int, capacity: int, piece_cost: float = PIECE_COST) -> list[int]:
+    """The lengths of a document's pieces."""
+    pieces, left = [capacity] * (length // capacity), length % capacity
+    first = splits(capacity, piece_cost)
+    while left:
+        pieces.append(first[left] or left)
+        left -= pieces[-1]
     return pieces
 
 
 PIECES = (
-    "start long, length long, ids_crc32 long, doc_tokens long, part long, position long"
+    "start long, length long, ids_crc32 long, doc_tokens long, part long, to_bin long, position long, "
+    "offset long"
 )
 
 
 def pieces(
-    docs: DataFrame, path: str, text: str, key: str, capacity: int, end_id: int
+    docs: DataFrame, path: str, text: str, key: str, capacity: int, end_id: int, piece_cost: float
 ) -> DataFrame:
-    """Every document's pieces, numbered by ``position`` within their ``part`` and ``length``."""
+    """Every document's pieces, numbered by ``position`` within their ``part`` and class (``to_bin``
+    pieces a bin), with their ``offset`` in the part's bin."""
     kind = docs.select(f"`{key}`").schema[0].dataType.simpleString()
     schema = f"`{key}` {kind}, {PIECES}"
     target = arrow_schema(docs, schema)
-    lengths = class_lengths(capacity)
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, used = TaskContext.get().partitionId(), dict.fromkeys(lengths, 0)
+        part = TaskContext.get().partitionId()
+        used: Counter = Counter()  # pieces by class
+        filled: Counter = Counter()  # length of the last bin by class
         for batch in batches:
             for piece in slices(batch, 1):
                 rows, of = [], []
                 for n, data in enumerate(piece.column(1).cast(pa.binary()).to_pylist()):
                     ids = load(path).encode(data or b"") + last
                     total, start = len(ids) // 4, 0
-                    for size in cut(total, capacity, lengths):
+                    for size in cut(total, capacity, piece_cost):
                         crc = zlib.crc32(ids[4 * start : 4 * (start + size)])
-                        rows.append((start, size, crc, total, part, used[size]))
+                        to_bin = capacity // size
+                        if used[to_bin] % to_bin == 0:
+                            filled[to_bin] = 0
+                        rows.append((start, size, crc, total, part, to_bin, used[to_bin], filled[to_bin]))
                         of.append(n)
-                        used[size] += 1
+                        used[to_bin] += 1
+                        filled[to_bin] += size
                         start += size
-                columns = np.array(rows, np.int64).reshape(len(rows), 6)
+                columns = np.array(rows, np.int64).reshape(len(rows), 8)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0).take(pa.array(of, pa.int64()))]
-                    + [pa.array(columns[:, i]) for i in range(6)],
+                    + [pa.array(columns[:, i]) for i in range(8)],
                     schema=target,
                 )
 
@@ -229,40 +261,57 @@ def pack(
     key: str = "doc_id",
     capacity: int = 2048,
     end_id: int = 1,
+    piece_cost: float = PIECE_COST,
 ) -> DataFrame:
     """One row per piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document is its text's ids by the tokenizer file at ``path`` and then ``end_id``; a null or
     empty text is ``end_id`` alone. Repeated rows are packed each, null keys stay null, an empty
     table gives no rows and other columns are left out. Sequences are unique by ``sequence_id`` and
-    filled without gaps from offset 0. What is packed a second time is less than one bin of each
-    class, so at most a few thousand pieces whatever the input.
+    filled without gaps from offset 0. The greater ``piece_cost``, the fewer documents are cut and
+    the more padding there is. What is packed by a single task is less than one bin of each class, so
+    at most a few thousand pieces whatever the input.
     """
     kind = docs.select(f"`{key}`").schema[0].dataType.simpleString()
-    made = materialize(pieces(docs, path, text, key, capacity, end_id), "pieces")
-    counts = made.groupBy("part", "length").agg((F.max("position") + 1).alias("_n"))
-    before = Window.partitionBy("length").orderBy("part")
+    made = materialize(pieces(docs, path, text, key, capacity, end_id, piece_cost), "pieces")
+    counts = made.groupBy("part", "to_bin").agg((F.max("position") + 1).alias("_n"))
+    counts = counts.withColumns({"_bins": F.expr("_n div to_bin"), "_open": F.expr("_n % to_bin")})
+    classes = Window.partitionBy("to_bin")
+    earlier = classes.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(name: str) -> Column:
+        return F.coalesce(F.sum(name).over(earlier), F.lit(0))
+
     places = counts.select(
         "part",
-        "length",
-        F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy("length")).alias("_all"),
+        "to_bin",
+        "_bins",
+        before("_bins").alias("_bins_before"),
+        F.sum("_bins").over(classes).alias("_bins_all"),
+        before("_open").alias("_open_before"),
+        F.sum("_open").over(classes).alias("_open_all"),
     )
-    to_bin = F.floor(F.lit(capacity) / F.col("length"))
-    placed = (
-        made.join(broadcast_if_small(places), ["part", "length"])
-        .withColumn("_index", F.coalesce("_before", F.lit(0)) + F.col("position"))
-        .withColumn("_to_bin", to_bin)
-        .withColumn("_full", F.col("_all") - F.col("_all") % F.col("_to_bin"))
+    placed = made.join(broadcast_if_small(places), ["part", "to_bin"]).withColumn(
+        "_in_open", F.col("position") - F.col("_bins") * F.col("to_bin")
     )
     kept = [F.col(f"`{key}`"), *map(F.col, ("start", "length", "ids_crc32", "doc_tokens"))]
-    # class length in the low part, so that ids of different classes differ; class 0 is the rest's
+    # the class in the low part, so that ids of different classes differ; class 0 is the rest's
     wide = capacity + 1
-    whole = placed.filter("_index < _full").select(
-        *kept,
-        (F.floor(F.col("_index") / F.col("_to_bin")) * wide + F.col("length")).alias("sequence_id"),
-        (F.col("_index") % F.col("_to_bin") * F.col("length")).alias("offset"),
+
+    def sequence(bin_number: Column) -> Column:
+        return (bin_number * wide + F.col("to_bin")).alias("sequence_id")
+
+    own = placed.filter("_in_open < 0").select(
+        *kept, sequence(F.col("_bins_before") + F.expr("position div to_bin")), "offset"
+    )
+    left = placed.filter("_in_open >= 0").withColumn("_index", F.col("_open_before") + F.col("_in_open"))
+    left = left.withColumn("_bin", F.expr("_index div to_bin"))
+    in_bin = Window.partitionBy("to_bin", "_bin").orderBy("_index")  # at most ``to_bin`` rows
+    so_far = F.sum("length").over(in_bin.rowsBetween(Window.unboundedPreceding, -1))
+    shared = left.filter("_bin < _open_all div to_bin").select(
+        *kept, sequence(F.col("_bins_all") + F.col("_bin")), F.coalesce(so_far, F.lit(0)).alias("offset")
     )
+    whole = own.unionByName(shared)
     schema = (
         f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
         "sequence_id long, offset long"
@@ -277,5 +326,5 @@ def pack(
             .append_column("offset", pa.array([o for _, o in places], pa.int64()))
         )
 
-    rest = placed.filter("_index >= _full").select(*kept, "_index", F.lit(1).alias("_one"))
+    rest = left.filter("_bin >= _open_all div to_bin").select(*kept, "_index", F.lit(1).alias("_one"))
     return whole.unionByName(rest.groupBy("_one").applyInArrow(again, schema))

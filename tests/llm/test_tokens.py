@@ -93,9 +93,14 @@ def test_encode_decode(make_docs, words):
 
 def test_cut():
     lengths = packing.class_lengths(2048)
+    waste = lambda n: 2048 / (2048 // n) - n
     for n in [*range(1, 5000, 7), 2048, 4096]:
-        pieces = packing.cut(n, 2048, lengths)
-        assert sum(pieces) == n and set(pieces) <= set(lengths)
+        pieces = packing.cut(n, 2048)
+        assert sum(pieces) == n and set(pieces[:-1]) <= set(lengths)
+        if n < 2048:  # no way with one cut or none is cheaper
+            cost = sum(map(waste, pieces)) + 64 * (len(pieces) - 1)
+            ways = [waste(n), *[waste(c) + waste(n - c) + 64 for c in lengths if c < n]]
+            assert cost <= min(ways) + 1e-9
 
 
 def check_packing(docs, rows, tokenizer, capacity=2048):
@@ -113,13 +118,12 @@ def check_packing(docs, rows, tokenizer, capacity=2048):
         padding += 0 if end & (end - 1) == 0 else capacity - end
     made = Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
     left = Counter(made)
-    lengths = packing.class_lengths(capacity)
     total = 0
     for d in docs.collect():
         ids = [*tokenizer.encode(d.text or "", add_special_tokens=False).ids, 1]
         total += len(ids)
         data, start = np.array(ids, "<u4").tobytes(), 0
-        for n in packing.cut(len(ids), capacity, lengths):
+        for n in packing.cut(len(ids), capacity):
             left[d.doc_id, start, n, zlib.crc32(data[4 * start : 4 * (start + n)]), len(ids)] -= 1
             start += n
     assert not any(left.values())
@@ -136,6 +140,20 @@ def test_pack(make_docs, byte_level):
     assert packing.pack(make_docs([]), BYTES).count() == 0
 
 
+def test_bins_hold_pieces_of_one_class(make_docs, byte_level):
+    docs = make_docs([(i, "a word " * (i % 97)) for i in range(3000)]).repartition(6).cache()
+    rows = packing.pack(docs, BYTES, capacity=64).collect()
+    assert check_packing(docs, rows, byte_level, 64) < 0.03
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append(64 // r.length)
+    mixed = [i for i, classes in bins.items() if i % 65 == 0]  # what the single task has packed
+    assert len(mixed) < 64
+    assert all(c == [i % 65] * (i % 65) for i, c in bins.items() if i % 65)
+    whole = packing.pack(docs, BYTES, capacity=64, piece_cost=1.0).collect()
+    assert len(whole) == sum(-(-d // 64) for d in {r.doc_id: r.doc_tokens for r in rows}.values())
+
+
 def test_digest_of_nothing(make_docs):
     row = bpe.encode_decode(make_docs([(1, None)]), WORDS).first()
     assert hashlib.sha256(row.ids).hexdigest() == hashlib.sha256(b"").hexdigest()
