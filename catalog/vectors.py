@@ -21,6 +21,7 @@ from kindred.functions.codec import decode_vector, encode_vector
 from kindred.operators import evaluate as E
 from kindred.operators import merge as M
 from kindred.operators.embed import mean_pool_images, mean_vector
+from kindred.operators.losses import Head, class_losses
 from kindred.operators.scoring import best_class, class_scores
 from kindred.plans import jobs
 from kindred.session import scratch_path
@@ -241,12 +242,17 @@ def linear_score(spark, folder):
     select row_id, {r5_sql('loss')} as loss from losses""",
 )
 def cross_entropy(spark, folder):
-    scored = cosine_scores(spark, folder, F.col("lv2"))
-    margin = V.margin_scores(F.col("scores"), F.col("label"))
-    loss = scored.select("row_id", "label", margin.alias("m")).select(
-        "row_id", V.cross_entropy(F.col("m"), F.col("label").cast("int")).alias("loss")
+    rows = item_vectors(spark, folder)
+    losses = class_losses(
+        rows, {"loss": centre_head(rows, "lv2")}, row_id="row_id", vec="embedding"
     )
-    return loss.select("row_id", r5("loss").alias("loss"))
+    return losses.select("row_id", r5("loss").alias("loss"))
+
+
+def centre_head(rows, label):
+    """The mean vectors of a label as classes."""
+    centres = mean_vector(rows, [label], F.col("embedding"))
+    return Head(centres.withColumnsRenamed({"vec": "weights", label: "class_id"}), label)
 
 
 @query(
@@ -257,20 +263,11 @@ def cross_entropy(spark, folder):
     from l1 join l2 using (row_id) join l3 using (row_id)""",
 )
 def multitask_loss(spark, folder):
-    def losses(label, name):
-        scored = cosine_scores(spark, folder, label)
-        margin = V.margin_scores(F.col("scores"), F.col("label"))
-        kept = scored.select("row_id", "label", margin.alias("m"))
-        entropy = V.cross_entropy(F.col("m"), F.col("label").cast("int"))
-        return kept.select("row_id", entropy.alias(name))
-
-    joined = (
-        losses(F.col("lv1"), "l1")
-        .join(losses(F.col("lv2"), "l2"), "row_id")
-        .join(losses(F.col("row_id") % 20, "l3"), "row_id")
-    )
+    rows = item_vectors(spark, folder).withColumn("tag", F.col("row_id") % 20)
+    heads = {"l1": centre_head(rows, "lv1"), "l2": centre_head(rows, "lv2"), "l3": centre_head(rows, "tag")}
+    losses = class_losses(rows, heads, row_id="row_id", vec="embedding")
     total = V.multitask_loss(F.col("l1"), F.col("l2"), F.col("l3"))
-    return joined.select("row_id", r5(total).alias("loss"))
+    return losses.select("row_id", r5(total).alias("loss"))
 
 
 def predictions(spark, folder):

@@ -73,16 +73,21 @@ def _score_task(cosine: bool, names: Sequence[str]):
 
 
 def _held_classes(
-    classes: DataFrame, class_id: str, weights: str, bias: str | None, cosine: bool
+    classes: DataFrame,
+    class_id: str,
+    weights: str,
+    bias: str | None,
+    cosine: bool,
+    class_bytes: int = CLASS_BYTES,
 ) -> tuple[np.ndarray, np.ndarray] | None:
-    """Class matrix and biases in class order if they are within ``CLASS_BYTES``, else None."""
+    """Class matrix and biases in class order if they are within ``class_bytes``, else None."""
     table = classes.select(
         F.col(class_id).cast("bigint").alias("id"),
         F.col(weights).cast("array<double>").alias("vec"),
         (F.col(bias).cast("double") if bias else F.lit(0.0)).alias("bias"),
     )
     cells = table.agg(F.coalesce(F.sum(F.size("vec") + 2), F.lit(0))).first()[0]
-    if 8 * cells > CLASS_BYTES:
+    if 8 * cells > class_bytes:
         return None
     held = table.toArrow()
     ids = held["id"].to_numpy()
