@@ -31,7 +31,10 @@ def test_stages(spark, tmp_path):
     assert sizes == [123, 123, 121, 121]
     assert set(kept) == {*range(120), 162}
     assert kept[162] == extra + '[SECRET]"' and kept[5] == clean[5]
-    assert corpus_pipeline.run(spark, folder).count() == docs.count() > 121
+    packed = docs.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert all(r["sum(length)"] == r["max(doc_tokens)"] for r in packed)
+    # documents that fit a sequence may stay whole, so there may be just a piece of each
+    assert corpus_pipeline.run(spark, folder).count() == docs.count() >= 121
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(kept)
 
 
