@@ -6,6 +6,7 @@ from catalog.base import PAIR_ITEMS, hash_sql, pair_items, query, r5, r5_sql, un
 from catalog.texts import words_sql
 from kindred.operators import sampling as S
 from kindred.operators.tokens import build_vocabulary, tokenize_pad
+from kindred.session import materialize, never_broadcast
 
 SEED = "2024"
 BATCH = 32
@@ -192,11 +193,11 @@ def padded_sql(c: str) -> str:
     from pairs p join q on p.id = q.id join t on p.id = t.id""",
 )
 def pair_tokens(spark, folder):
-    samples = mined(spark, folder)
+    samples = materialize(mined(spark, folder), "pair-samples")
     vocabulary = build_vocabulary(pair_items(spark, folder), [F.col("title")])
     sides = {"query_tokens": F.col("query"), "title_tokens": F.col("title")}
     records = tokenize_pad(samples, "id", sides, vocabulary, LENGTH)
-    joined = samples.select("id", "label").join(records, "id")
+    joined = samples.select("id", "label").join(never_broadcast(records), "id")
 
     def used(name):
         return F.aggregate(name + ".attention_mask", F.lit(0), lambda acc, x: acc + x)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.hashing import hash_int, hash_unit
 from kindred.operators.ranking import BUCKET_ROWS, blocked_index, shuffled_index
-from kindred.session import broadcast_if_small, materialize
+from kindred.session import broadcast_if_small, materialize, never_broadcast
 
 NEGATIVE_DRAWS = 3
 
@@ -95,7 +95,7 @@ def _any_other_title(index: DataFrame, left: DataFrame) -> DataFrame:
         for side, name, order in ((0, "least", F.asc("least")), (1, "greatest", F.desc("greatest")))
     ]
     return (
-        left.join(reduce(DataFrame.union, ends), ["kind", "grp"])
+        never_broadcast(left).join(reduce(DataFrame.union, ends), ["kind", "grp"])
         .where((F.col("cand.block") != F.col("block")) & (F.col("cand.title") != F.col("title")))
         .groupBy("id")
         .agg(F.min_by("cand", F.struct("side", "_n")).alias("cand"))
@@ -156,7 +156,7 @@ def mine_pairs(
 
     # The row's own place in the group it draws from.
     own = index.withColumnRenamed("cand_id", "id").join(
-        asked.select("id", "kind"), ["id", "kind"], "left_semi"
+        never_broadcast(asked.select("id", "kind")), ["id", "kind"], "left_semi"
     )
     allowed = F.col("group_rows") - F.col("block_rows")
     own = own.where(allowed >= F.col("least")).select(
@@ -174,7 +174,7 @@ def mine_pairs(
     ).select("*", F.posexplode("_draws").alias("attempt", "_j"))
     # Step over the row's own block.
     target = F.col("_j") + F.when(F.col("_j") >= F.col("block_start"), F.col("block_rows")).otherwise(0)
-    drawn = draws.withColumn("idx", target).join(
+    drawn = never_broadcast(draws.withColumn("idx", target)).join(
         index.select("kind", "grp", "idx", "cand_id", F.col("title").alias("cand_title")),
         ["kind", "grp", "idx"],
     )
@@ -185,11 +185,11 @@ def mine_pairs(
         .select("id", "_c.*")
     )
     picked = materialize(picked, "drawn-pairs")
-    unlucky = own.where(is_negative).join(picked.select("id"), "id", "left_anti")
+    unlucky = own.where(is_negative).join(never_broadcast(picked.select("id")), "id", "left_anti")
     negatives = index.where(is_negative)
     picked = picked.unionByName(_any_other_title(negatives, unlucky))
 
-    paired = asked.join(picked, "id", "left" if allow_self else "inner")
+    paired = asked.join(never_broadcast(picked), "id", "left" if allow_self else "inner")
     found = F.col("cand_id").isNotNull()
     return paired.select(
         "id",

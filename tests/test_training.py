@@ -49,6 +49,23 @@ def test_blocks_are_contiguous(spark, bucket_rows):
             assert (block.block_rows == len(block)).all()
 
 
+def test_rows_in_small_files_are_not_broadcast(spark, tmp_path):
+    n = F.col("id")
+    rows = spark.range(5000).select(
+        (n * 0).alias("lv1"), (n * 0).alias("tag"), (n % 7).alias("lv2"),
+        F.concat(F.lit("name "), n % 50).alias("name"), "id",
+        F.concat(F.lit("title "), n % 90).alias("title"),
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    members = rows.select("*", F.explode(F.array(*[F.lit(i) for i in range(6)])).alias("kind"))
+    members = members.withColumn("u", hash_unit("t", F.col("id")))
+    index = blocked_index(members, ["kind"], "title", "u", "id")
+    for df in (index, S.mine_pairs(rows, seed="s", **NAMES)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("bucket_rows", [6, 500_000])
 def test_running_sums(spark, bucket_rows):
     df = hot_rows(spark)
