@@ -253,6 +253,24 @@ def test_masked_pool(spark):
     assert got == {1: [2.0, 3.0], 2: None}
 
 
+def test_masked_pool_adds_up_before_the_shuffle(spark):
+    n = F.col("id")
+    df = spark.range(9000, numPartitions=2).select(
+        (n % 300).alias("i"), F.array(n.cast("double"), F.lit(1.0)).alias("v"),
+        F.when(n % 7 != 0, (n % 2).cast("int")).alias("m"),
+    )
+    pooled = M.masked_mean_pool(df, "i", "v", "m", 2)
+    summed = M.masked_mean_pool(df, "i", "v", "m")
+    assert "ObjectHashAggregate" not in pooled._jdf.queryExecution().executedPlan().toString()
+    want = {r["i"]: r["vec"] for r in summed.collect()}
+    got = {r["i"]: r["vec"] for r in pooled.collect()}
+    assert len(got) == 300 and set(got) == set(want)
+    for i, vec in want.items():
+        assert got[i] == (None if vec is None else pytest.approx(vec))
+    with pytest.raises(Exception, match="has not 3 elements"):
+        M.masked_mean_pool(df, "i", "v", "m", 3).collect()
+
+
 def test_sentence_vector_counts_repeats(spark):
     words = spark.createDataFrame([("a", [1.0]), ("b", [4.0])], "word string, vec array<double>")
     df = spark.createDataFrame([(1, "a a b unknown"), (2, "unknown")], "i int, t string")
