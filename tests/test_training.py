@@ -49,6 +49,12 @@ def test_blocks_are_contiguous(spark, bucket_rows):
             assert (block.block_rows == len(block)).all()
 
 
+def test_running_sums_of_small_groups_shuffle_once(spark):
+    df = hot_rows(spark)
+    plan = running_sums(df, ["grp"], "step", {"s": F.col("row")}, ["row"])
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_rows_in_small_files_are_not_broadcast(spark, tmp_path):
     n = F.col("id")
     rows = spark.range(5000).select(
@@ -278,6 +284,15 @@ def test_sentence_vector_counts_repeats(spark):
     assert got == {1: [2.0]}
 
 
+def test_texts_are_split_once_for_sentence_vectors(spark):
+    words = spark.createDataFrame([("a", [1.0]), ("b", [4.0])], "word string, vec array<double>")
+    df = spark.createDataFrame([(1, "a a b unknown"), (2, "unknown")], "i int, t string")
+    for frequent in (0, 1, 10):
+        got = M.sentence_vectors(df, "i", F.col("t"), words, 1, frequent)
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in got.collect()] == [(1, [2.0])]
+
+
 def test_failed_rows_are_reported(spark):
     def load():
         def model(batch: pd.DataFrame):
