@@ -1,6 +1,7 @@
 """The job over recent days: what it reads, what it keeps and what it reports."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,24 @@ def test_job_reports_what_it_cannot_search(spark, tmp_path):
 def test_mean_of_ragged_vectors(spark, vectors, want):
     df = spark.createDataFrame([(vectors,)], "v array<array<double>>")
     assert df.select(mean_of(F.col("v"))).first()[0] == want
+
+
+@pytest.mark.parametrize("most", [1, 3, 400])
+def test_histograms_put_each_score_in_its_bin(most):
+    """Scores on the edges of bins, of vectors without direction and of rows that count several times."""
+    rng = np.random.default_rng(6)
+
+    def table(n):
+        vec = [list(v) for v in rng.integers(-1, 2, (n, 4)) * 1.0]
+        vec[0] = [float("nan")] * 4
+        weight = rng.integers(1, most + 1, n)
+        return pa.table({"k": np.arange(n), "vec": pa.array(vec, pa.list_(pa.float64())), "weight": weight})
+
+    queries, rows = table(60), table(5000)
+    got = np.array(S._histogram_task(["k"])(queries, rows).column("histogram").to_pylist())
+    q, _ = S._unit_rows(queries.column("vec"))
+    r, finite = S._unit_rows(rows.column("vec"))
+    place = np.clip((S._rounded(q @ r.T) + S.SCORE_SCALE) // S.BIN_WIDTH, 0, S.BINS - 1).astype(int)
+    weight = rows.column("weight").to_numpy() * finite
+    for n in range(len(q)):
+        assert (got[n] == np.bincount(place[n], weight, S.BINS)).all()
