@@ -170,3 +170,34 @@ def test_histograms_put_each_score_in_its_bin(most):
     weight = rows.column("weight").to_numpy() * finite
     for n in range(len(q)):
         assert (got[n] == np.bincount(place[n], weight, S.BINS)).all()
+
+
+@pytest.mark.parametrize("most", [3, 300, 70_000, 2**40])
+def test_packed_counts_are_the_counts(most):
+    """Histograms of several widths in one column, also where it is cut."""
+    rng = np.random.default_rng(7)
+    parts = [rng.integers(0, n + 1, (5, S.BINS)) for n in (3, most, 255)]
+    column = pa.chunked_array([S._packed(p) for p in parts])
+    assert (S._unpacked(column) == np.concatenate(parts)).all()
+    assert (S._unpacked(column.slice(4, 7)) == np.concatenate(parts)[4:11]).all()
+    assert len(S._packed(parts[0])[0].as_py()) == S.BINS  # a byte a bin
+
+
+def test_candidates_stay_lists_of_vectors(spark, tmp_path, monkeypatch):
+    """What is written before the share is known has a row a vector, however many rows have it."""
+    rows = rows_of(DAYS[:3])
+    rows += [(10_000 + n, f"copy{n}", *rows[0][2:]) for n in range(20)]
+    written = {}
+
+    def noted(df, name, write=S.materialize):
+        out = write(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "materialize", noted)
+    state = str(tmp_path / "state")
+    got = found(spark, rows, DAYS[2], state, block_rows=8192)
+    assert got == brute(rows, DAYS[2], 3, 8, -0.6)
+    vectors = {(*r[2:4], tuple(r[5])) for r in rows if r[5] is not None}
+    assert 0 < written["passing"] <= len(vectors) and 0 < written["share-held"] <= len(vectors)
+    assert dict(spark.read.parquet(state).dtypes)["histogram"] == "binary"
